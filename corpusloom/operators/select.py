@@ -37,9 +37,11 @@ def with_pair_tokens(
         return docs.join(_ids_with_long_list(docs, pairs, tokens, key), key, "left_semi")
     wanted = sorted({word for pair in short for word in pair})
     literal = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
-    found = docs.withColumn("found", F.array_intersect(tokens, literal))
-    test = _any_pair(short, lambda word: F.array_contains("found", word))
-    return found.where((F.size("found") > 0) & test).drop("found")
+    found = F.array(F.array_intersect(tokens, literal))
+    # the inner lambda binds the words found, which are computed once per row
+    return docs.where(
+        F.exists(found, lambda f: _any_pair(short, lambda word: F.array_contains(f, word)))
+    )
 
 
 def _ids_with_long_list(docs: DataFrame, pairs: DataFrame, tokens: str, key: str) -> DataFrame:

@@ -389,6 +389,7 @@ WHERE title_key IN (SELECT title_key FROM keyed WHERE contains(text, '<html lang
 SELECT key, cn FROM one_vocab""",
     "bigram_vocab_line": f"""WITH {BLANK_TOKENS}, {vocabulary_ctes("one", "tokens", False)}
 SELECT key, cn FROM one_vocab""",
+    "corpus_words": f"WITH {BLANK_TOKENS} SELECT count(*) AS words FROM tokens",
     "phrase_scores": f"""WITH {BLANK_TOKENS}, {score_ctes("one", "tokens", True)}
 SELECT prev, word, pa, pb, pab, round(score, 6) AS score FROM one_scores""",
     "phrase_joined_lines": f"""WITH {LINES}, {phrase_ctes("one", "lines", 100)}

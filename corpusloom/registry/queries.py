@@ -11,7 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import counts, phrases, ranks, select, stopwords
 from corpusloom.operators.analogies import analogies, analogy_accuracy, synonyms
-from corpusloom.operators.bigrams import key_counts, pair_counts
+from corpusloom.operators.bigrams import key_counts
 from corpusloom.operators.lookup import (
     dimension,
     fill_zero,
@@ -256,20 +256,32 @@ def pages_by_title(spark, sf):
 # -- phrases
 
 
+def vocabulary(spark, sf, cross_line):
+    counted = key_counts(I.documents(spark, sf), cross_line=cross_line)
+    return counted.where(F.col("key").isNotNull())
+
+
 @query
 def bigram_vocab_crossline(spark, sf):
-    return key_counts(pair_counts(I.documents(spark, sf), cross_line=True))
+    return vocabulary(spark, sf, True)
 
 
 @query
 def bigram_vocab_line(spark, sf):
-    return key_counts(pair_counts(I.documents(spark, sf), cross_line=False))
+    return vocabulary(spark, sf, False)
+
+
+@query
+def corpus_words(spark, sf):
+    """Number of words of the corpus, line ends not counted."""
+    counted = key_counts(I.documents(spark, sf), cross_line=False)
+    return counted.where(F.col("key").isNull()).select(F.col("cn").alias("words"))
 
 
 @query
 def phrase_scores(spark, sf):
-    pairs = materialize(pair_counts(I.documents(spark, sf)), "pairs")
-    scored = phrases.score_pairs(pairs)
+    docs = I.documents(spark, sf)
+    scored = phrases.score_pairs(docs, materialize(key_counts(docs), "vocabulary"))
     return scored.withColumn("score", F.round("score", 6))
 
 
