@@ -116,6 +116,12 @@ def blank_tokens(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t == mark, F.lit(LINE_END)).otherwise(t))
 
 
+def flat_tokens(text: Column) -> Column:
+    """Phrase tokens of a whole text, line ends passed over."""
+    tokens = F.split(F.translate(text, "\t\n\r", "  "), " ")
+    return F.filter(tokens, lambda t: (t != "") & (t != LINE_BREAK_TOKEN))
+
+
 def truncate_bytes(token: Column, length: int) -> Column:
     """First ``length`` bytes of a token's UTF-8 form; a character cut apart is replaced."""
     cut = F.substring(F.encode(token, "UTF-8"), 1, length).cast("string")

@@ -5,13 +5,14 @@ A vector table is ``(word string, vector array<double>)``, unique on ``word``.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators.skew import hot_rows, lookup_join
+from corpusloom.operators.skew import lookup_join
+
+# Vector components that are broadcast at most (128 MB of doubles).
+BROADCAST_VALUES = 16_000_000
 
 
 def dimension(vectors: DataFrame) -> int:
@@ -63,22 +64,29 @@ def known_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def mean_vectors(
-    tokens: DataFrame, counts: DataFrame, total: int, vectors: DataFrame, key: str = "doc_id"
+    tokens: DataFrame,
+    counts: DataFrame,
+    vectors: DataFrame,
+    key: str = "doc_id",
+    broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Mean word vector ``(key, n_tokens, vector)`` of the documents.
 
-    ``tokens`` has one row ``(key, word)`` per token and ``counts`` the number
-    ``cn`` of every word.  Unknown words count as zero vectors.
+    ``tokens`` has one row ``(key, word)`` per token, together for each
+    document, and ``counts`` the number ``cn`` of every word.  Unknown words
+    count as zero vectors.
+
+    Tokens that meet a broadcast vector stay where they are, so their sums
+    combine before the shuffle.  Of a vector table too large to broadcast, the
+    most frequent words that fit are; only tokens of the others are shuffled.
     """
     dim = dimension(vectors)
+    rows = max(1, broadcast_values // dim)
+    frequent = counts.orderBy(F.col("cn").desc(), "word").limit(rows)
     joined = lookup_join(
-        tokens.select(key, "word"), vectors, ["word"], hot_rows(counts, "cn", total), "left",
-        broadcast_rows=50_000_000 // dim,
-    )
-    vector = F.when(F.col("vector").isNotNull(), array_to_vector("vector"))
-    summed = joined.groupBy(key).agg(
-        F.count("*").alias("n_tokens"),
-        Summarizer.sum(F.coalesce(vector, array_to_vector(V.zeros(dim)))).alias("total"),
+        tokens.select(key, "word"), vectors, ["word"], frequent, "left", broadcast_rows=rows
     )
-    mean = F.transform(vector_to_array("total"), lambda x: x / F.col("n_tokens"))
-    return summed.select(key, "n_tokens", mean.alias("vector"))
+    parts = [F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dim)]
+    summed = joined.groupBy(key).agg(F.count("*").alias("n_tokens"), *parts)
+    means = [F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(dim)]
+    return summed.select(key, "n_tokens", F.array(*means).alias("vector"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A table of at most this many narrow rows is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 # A key is hot if it holds more than 1/HOT_SHARE of all rows, so fewer than
 # HOT_SHARE keys can be hot.
 HOT_SHARE = 1024
@@ -28,9 +28,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``large`` with ``table`` (unique on ``on``) without a skewed shuffle.
 
-    A small table is broadcast.  Beyond that, the keys in ``hot`` (fewer than
-    HOT_SHARE, see `hot_rows`) are joined by broadcast and only the even rest
-    is shuffled.  ``how`` is ``inner`` or ``left``.
+    A small table is broadcast.  Beyond that, the keys in ``hot``, a table of a
+    bounded number of rows (such as `hot_rows`), are joined by broadcast and
+    only the even rest is shuffled.  ``how`` is ``inner`` or ``left``.
     """
     rows = table.count() if table_rows is None else table_rows
     if rows <= broadcast_rows:

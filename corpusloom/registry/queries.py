@@ -383,9 +383,8 @@ def doc_embedding_mean(spark, sf):
     docs = I.documents(spark, sf)
     tokens = docs.select("doc_id", F.explode(T.document_space_tokens(F.col("text"))).alias("word"))
     vocab = materialize(counts.word_counts(words(docs), 1), "vocabulary")
-    total = counts.vocabulary_metrics(vocab).head().words_in_corpus
     vectors = materialize(I.hashed_word_vectors(vocab, spark, sf), "vectors")
-    means = mean_vectors(tokens, vocab, total, vectors)
+    means = mean_vectors(tokens, vocab, vectors)
     rows = means.select("doc_id", "n_tokens", F.posexplode("vector").alias("dim", "value"))
     return rows.select("doc_id", "n_tokens", F.col("dim").cast("long"), six("value"))
 
