@@ -95,7 +95,7 @@ def _grams(text: Column) -> Column:
         ends = [F.slice(chars, i + 1, F.greatest(F.size(chars) - n + 1, F.lit(0))) for i in range(n)]
         joined = ends[0]
         for end in ends[1:]:
-            joined = F.zip_with(joined, end, F.concat)
+            joined = F.zip_with(joined, end, lambda a, b: F.concat(a, b))
         grams.append(joined)
     return F.array_distinct(F.concat(*grams))
 
