@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from corpusloom.registry.queries import QUERIES
+from corpusloom.scratch import drop_tables
 
 HEADLINE = [
     "top_words",
@@ -63,6 +64,7 @@ def main() -> None:
         "sf": sf_dir.rsplit("sf", 1)[-1].strip("/"),
     }
     print(json.dumps(result))
+    drop_tables(spark)
     spark.stop()
 
 

@@ -100,12 +100,15 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def first_documents(docs: DataFrame, n: int = 1000, key: str = "doc_id") -> DataFrame:
-    """The first ``n`` documents in corpus order.
+def first_documents(
+    docs: DataFrame, found: DataFrame, n: int = 1000, key: str = "doc_id"
+) -> DataFrame:
+    """The first ``n`` documents, in corpus order, of those in ``found``.
 
-    Only ids are sorted; the documents are fetched by their at most ``n`` ids.
+    Only the ids found are sorted; ``docs`` is then read by at most ``n`` ids,
+    without the test that found them.
     """
-    ids = docs.select(key).orderBy(key).limit(n)
+    ids = found.select(key).orderBy(key).limit(n)
     return docs.join(ids, key, "left_semi")
 
 

@@ -36,6 +36,12 @@ def phrase_token_rows(corpus: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.col("pos") - lead)
 
 
+def truncate_tokens(corpus: DataFrame, max_bytes: int = 58) -> DataFrame:
+    """Corpus whose phrase tokens are cut at ``max_bytes`` bytes of UTF-8."""
+    tokens = F.transform(T.blank_tokens(F.col("text")), lambda t: T.truncate_bytes(t, max_bytes))
+    return corpus.select("doc_id", F.array_join(tokens, " ").alias("text"))
+
+
 def words(corpus: DataFrame) -> DataFrame:
     """One row ``(word)`` per space-separated token, for counting."""
     return corpus.select(F.explode(T.document_space_tokens(F.col("text"))).alias("word"))

@@ -319,6 +319,8 @@ ORACLES = {
     "text_lines": lines_of("documents"),
     "text_file_lines": f"""WITH {LINES}
 SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id, text FROM lines""",
+    "text_files_appended": f"""
+SELECT text FROM ({lines_of("documents")}) UNION ALL SELECT text FROM ({lines_of("conversations", "conv_id")})""",
     "tokens_space": f"WITH {TOKENS} SELECT * FROM tokens",
     "tokens_phrase": f"WITH {BLANK_TOKENS} SELECT * FROM tokens",
     "alpha_tokens": f"""
@@ -399,6 +401,11 @@ SELECT * FROM one_lines""",
     "phrase_two_pass": f"""WITH {LINES}, {phrase_ctes("one", "lines", 200)},
 {phrase_ctes("two", "one_lines", 100)}
 SELECT * FROM two_lines""",
+    "phrase_text_file": f"""WITH {LINES}, {phrase_ctes("one", "lines", 100)}
+SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id,
+  CASE WHEN text = '' THEN text ELSE ' ' || text END AS text FROM one_lines""",
+    "rated_pairs_file": f"WITH {RATED} SELECT 'made up' AS dataset, word1, word2, score FROM rated",
+    "analogy_pairs_file": f"WITH {ANALOGY_PAIRS} SELECT word1, word2 FROM pairs",
     "vector_lookup_zero_fill": f"""WITH {VECTORS}, {RATED}, {FILLED.format("rated")}
 SELECT dataset, line_no, word1, word2, round({NORM.format("vector1")}, 6) AS norm1,
   round({NORM.format("vector2")}, 6) AS norm2 FROM filled""",
@@ -456,5 +463,7 @@ SELECT word, 32::BIGINT AS dim, true AS nonzero FROM vocab WHERE cn >= 20""",
     "w2v_transform": f"""WITH {KEPT}
 SELECT doc_id, bool_or(coalesce(v.cn, 0) >= 20) AS nonzero
 FROM tokens LEFT JOIN vocab v USING (word) GROUP BY doc_id""",
+    "w2v_word_lookup": f"""WITH {VOCAB}
+SELECT word, cn >= 20 AND lower(word) NOT IN ({STOP}) AS nonzero FROM vocab WHERE cn >= 5""",
     "w2v_save_load": f"WITH {KEPT} SELECT word, 0.0::DOUBLE AS gap FROM vocab WHERE cn >= 20",
 }

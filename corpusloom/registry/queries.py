@@ -34,6 +34,7 @@ from corpusloom.scratch import materialize, new_path
 from corpusloom.sources import stopwords as lists
 from corpusloom.sources import text as files
 from corpusloom.sources import wiki
+from corpusloom.sources.pairs import pairs_from_list, read_pairs, read_rated_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,10 +49,9 @@ def six(column: str):
     return F.round(column, 6).alias(column)
 
 
-def stop_list(spark: SparkSession) -> list[str]:
+def stop_list() -> list[str]:
     """Built-in English list and the extra news list, as one."""
-    table = lists.stopword_table(spark, lists.language_stopwords("en"), lists.NEWS_STOPWORDS)
-    return lists.stopword_list(table)
+    return lists.union_lists(lists.language_stopwords("en"), lists.NEWS_STOPWORDS)
 
 
 # -- lines and tokens
@@ -71,6 +71,16 @@ def text_file_lines(spark, sf):
     return files.read_lines(spark, path).select("doc_id", "text")
 
 
+@query
+def text_files_appended(spark, sf):
+    """Lines of one source and then of another one, written to the same text files."""
+    path = new_path(spark, "appended")
+    for source in (I.documents, I.conversations):
+        lines = files.document_lines(source(spark, sf))
+        files.write_lines(lines, path, ["doc_id", "line_no"], mode="append")
+    return files.read_lines(spark, path).select("text")
+
+
 @query
 def tokens_space(spark, sf):
     return space_token_rows(I.documents(spark, sf))
@@ -90,7 +100,7 @@ def alpha_tokens(spark, sf):
 
 @query
 def alpha_tokens_without_stopwords(spark, sf):
-    stop = stop_list(spark)
+    stop = stop_list()
     docs = I.documents(spark, sf)
     kept = stopwords.without_words(T.alphabetic_tokens(F.col("text")), stop)
     return docs.select("doc_id", F.array_join(kept, " ").alias("text"))
@@ -122,13 +132,13 @@ def vocab_size_and_total(spark, sf):
 @query
 def stopword_removed(spark, sf):
     docs = I.documents(spark, sf).select("doc_id", T.document_space_tokens(F.col("text")).alias("raw"))
-    kept = stopwords.remove_ignoring_case(docs, "raw", "kept", stop_list(spark))
+    kept = stopwords.remove_ignoring_case(docs, "raw", "kept", stop_list())
     return kept.select("doc_id", F.array_join("kept", " ").alias("text"))
 
 
 @query
 def stopword_removed_exact(spark, sf):
-    kept = stopwords.without_words(T.document_space_tokens(F.col("text")), stop_list(spark))
+    kept = stopwords.without_words(T.document_space_tokens(F.col("text")), stop_list())
     return I.documents(spark, sf).select("doc_id", F.array_join(kept, " ").alias("text"))
 
 
@@ -141,12 +151,12 @@ def stopword_antijoin_counts(spark, sf):
 
 @query
 def corpus_stats_metrics(spark, sf):
-    return corpus_stats(I.documents(spark, sf), stop_list(spark))[0]
+    return corpus_stats(I.documents(spark, sf), stop_list())[0]
 
 
 @query
 def corpus_stats_top(spark, sf):
-    return corpus_stats(I.documents(spark, sf), stop_list(spark))[1]
+    return corpus_stats(I.documents(spark, sf), stop_list())[1]
 
 
 @query
@@ -215,7 +225,7 @@ def corpus_union(spark, sf):
 
 
 def selection_pairs(spark):
-    return spark.createDataFrame(I.PAIRS, "word1 string, word2 string")
+    return pairs_from_list(spark, I.PAIRS)
 
 
 def alphabetic_documents(spark, sf):
@@ -300,9 +310,35 @@ def phrase_two_pass(spark, sf):
     return files.document_lines(repeat_phrases(I.documents(spark, sf)))
 
 
+@query
+def phrase_text_file(spark, sf):
+    """Phrase-joined lines written as text, every unit led by a space, and read back."""
+    path = new_path(spark, "phrase-text")
+    lines = files.document_lines(phrases.join_phrases(I.documents(spark, sf)))
+    files.write_phrase_lines(lines, path, ["doc_id", "line_no"])
+    return files.read_lines(spark, path).select("doc_id", "text")
+
+
 # -- vectors
 
 
+@query
+def rated_pairs_file(spark, sf):
+    """Rated pairs written as tab-separated files with header and read back."""
+    path = new_path(spark, "rated")
+    rated = I.rated_pairs(spark, sf).select("word1", "word2", "score")
+    rated.write.option("sep", "\t").csv(path, header=True)
+    return read_rated_pairs(spark, path, "made up").drop("line_no")
+
+
+@query
+def analogy_pairs_file(spark, sf):
+    """Analogy pairs written as comma-separated files and read back."""
+    path = new_path(spark, "pairs")
+    I.analogy_pairs(spark, sf).select(F.upper("word1"), F.upper("word2")).write.csv(path)
+    return read_pairs(spark, path).drop("pair_id")
+
+
 @query
 def vector_lookup_zero_fill(spark, sf):
     vectors = I.word_vectors(spark, sf)
@@ -428,7 +464,7 @@ def evaluation_metrics(spark, sf):
 
 def fit_small(spark, sf):
     return training.fit_vectors(
-        I.documents(spark, sf), stop_list(spark), vector_size=32, num_partitions=8, min_count=20
+        I.documents(spark, sf), stop_list(), vector_size=32, num_partitions=8, min_count=20
     )
 
 
@@ -451,6 +487,14 @@ def w2v_transform(spark, sf):
     return means.select("doc_id", V.is_nonzero(F.col("vector")).alias("nonzero"))
 
 
+@query
+def w2v_word_lookup(spark, sf):
+    """Which words of the corpus the model knows, asked as sentences of one word."""
+    vocab = counts.word_counts(words(I.documents(spark, sf)), 5).select("word")
+    found = training.vectors_by_model(fit_small(spark, sf), vocab)
+    return found.select("word", V.is_nonzero(F.col("vector")).alias("nonzero"))
+
+
 @query
 def w2v_save_load(spark, sf):
     """Largest difference between the vectors of a model and of its saved copy."""
@@ -466,7 +510,7 @@ def w2v_save_load(spark, sf):
 @query
 def w2v_nearest(spark, sf):
     """Nearest words of the ten most frequent ones in a fitted model."""
-    docs, stop = I.documents(spark, sf), stop_list(spark)
+    docs, stop = I.documents(spark, sf), stop_list()
     vectors = materialize(training.word_vectors(fit_small(spark, sf)), "vectors")
     top = counts.top_words(counts.word_counts(kept_words(docs, stop)), 10)
     asked = top.select(F.xxhash64("word").alias("query_id"), "word")

@@ -31,9 +31,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{scratch_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session, once no result needs them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

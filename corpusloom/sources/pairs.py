@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.rows import small_table
+
 # Country and capital pairs; the first pair is the base analogy.
 COUNTRY_CAPITALS = {
     "en": [
@@ -72,5 +74,9 @@ def read_rated_pairs(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 def pairs_from_list(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     """Analogy pairs given as a list."""
-    rows = [(i, a.lower(), b.lower()) for i, (a, b) in enumerate(pairs)]
-    return spark.createDataFrame(rows, "pair_id long, word1 string, word2 string")
+    return small_table(
+        spark,
+        pair_id=list(range(len(pairs))),
+        word1=[a.lower() for a, _ in pairs],
+        word2=[b.lower() for _, b in pairs],
+    )

@@ -6,6 +6,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.rows import small_table
+
 # ISO codes of the languages that have a built-in list.
 LANGUAGE_NAMES = {
     "da": "danish",
@@ -54,7 +56,7 @@ def stopword_table(spark: SparkSession, *lists: list[str] | DataFrame) -> DataFr
     frames = [
         part
         if isinstance(part, DataFrame)
-        else spark.createDataFrame([(w,) for w in part], "word string")
+        else small_table(spark, word=list(part))
         for part in lists
     ]
     table = frames[0]
@@ -63,6 +65,11 @@ def stopword_table(spark: SparkSession, *lists: list[str] | DataFrame) -> DataFr
     return table.distinct()
 
 
+def union_lists(*lists: list[str]) -> list[str]:
+    """Distinct words of several lists held by the driver."""
+    return list(dict.fromkeys(word for part in lists for word in part))
+
+
 def stopword_list(table: DataFrame, limit: int = 100_000) -> list[str]:
     """Words of a table as a list, for the operators that test array elements."""
     words = [row.word for row in table.limit(limit + 1).collect()]

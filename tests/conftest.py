@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from corpusloom.scratch import drop_tables  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_tables(session)
     session.stop()
 
 

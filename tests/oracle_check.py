@@ -65,6 +65,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from __spark_entry__ import oracle_sql, queries
+    from corpusloom.scratch import drop_tables
 
     spark = (
         SparkSession.builder.master("local[8]")
@@ -91,6 +92,7 @@ def main() -> None:
         failed += bool(result)
         print(f"{'FAIL' if result else 'ok':5}{name} {time.time() - start:.1f}s {result}", flush=True)
     print(f"{failed} failed")
+    drop_tables(spark)
 
 
 if __name__ == "__main__":

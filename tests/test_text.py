@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.tokens import phrase_token_rows, space_token_rows
+from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, truncate_tokens
 from corpusloom.operators.stopwords import remove_by_join, remove_ignoring_case, without_words
 from corpusloom.plans.build_corpus import build_corpus
 from corpusloom.sources.text import document_lines
@@ -143,6 +143,13 @@ def test_truncate_bytes(apply):
     assert apply(lambda c: T.truncate_bytes(c, 4), *values) == ["abc", "abcd", "aé", "abc�"]
 
 
+def test_truncated_tokens(corpus_of):
+    long = "x" * 70
+    rows = truncate_tokens(corpus_of(f"{long} short\n{long[:58]}y")).collect()
+    tokens = [r.word for r in phrase_token_rows(truncate_tokens(corpus_of(rows[0].text))).collect()]
+    assert tokens == ["x" * 58, "short", "x" * 58]
+
+
 def test_pair_key_has_no_key_without_previous(spark):
     df = spark.createDataFrame([(None, "a"), ("b", "a")], "p string, w string")
     keys = df.select(T.pair_key(F.col("p"), F.col("w")).alias("k")).collect()
