@@ -10,6 +10,8 @@ BROADCAST_ROWS = 2_000_000
 # A key is hot if it holds more than 1/HOT_SHARE of all rows, so fewer than
 # HOT_SHARE keys can be hot.
 HOT_SHARE = 1024
+# Parts that the rows of a hot key are spread over.
+SALTS = 64
 
 
 def hot_rows(table: DataFrame, count: str, total: int) -> DataFrame:
@@ -17,6 +19,26 @@ def hot_rows(table: DataFrame, count: str, total: int) -> DataFrame:
     return table.where(F.col(count) * HOT_SHARE > total)
 
 
+def salted_join(
+    large: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, salts: int = SALTS
+) -> DataFrame:
+    """Inner join of ``large`` with ``table`` (unique on ``on``) in one shuffle.
+
+    Rows of the keys in ``hot``, a table of a bounded number of rows, are
+    spread over ``salts`` copies of the key's row.
+    """
+    keys = F.broadcast(hot.select(*on, F.lit(True).alias("is_hot")))
+    salt = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    spread = large.join(keys, on, "left").select(
+        *large.columns, F.when(F.col("is_hot"), salt).otherwise(0).alias("salt")
+    )
+    every = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    copies = table.join(keys, on, "left").select(*table.columns, F.explode(every).alias("salt"))
+    return spread.join(copies, [*on, "salt"]).drop("salt")
+
+
 def lookup_join(
     large: DataFrame,
     table: DataFrame,

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.skew import hot_rows, lookup_join
+from corpusloom.operators.skew import hot_rows, lookup_join, salted_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -19,6 +19,17 @@ def test_split_join_equals_plain_join(spark, how):
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_salted_join_equals_plain_join(spark):
+    large = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k")
+    )
+    table = spark.range(0, 60, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    hot = spark.createDataFrame([(0,), (7,)], "k long")
+    salted = salted_join(large, table, ["k"], hot, salts=5).select("id", "k", "v")
+    plain = large.join(table, "k").select("id", "k", "v")
+    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_hot_keys_are_bounded(spark):
     counts = spark.range(5000).select("id", F.lit(1000).alias("cn"))
     assert hot_rows(counts, "cn", 5_000_000).count() == 0
