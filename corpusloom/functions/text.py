@@ -143,7 +143,7 @@ def article_tokens(text: Column, min_length: int = 2, max_length: int = 15) -> C
 
 def has_several_fields(text: Column) -> Column:
     """True where a line holds more than one blank-separated field."""
-    return F.rlike(text, F.lit(r"[^ \t\n]+[ \t\n]+[^ \t\n]"))
+    return F.rlike(text, F.lit(r"[^ \t\n][ \t\n]+[^ \t\n]"))
 
 
 def title_key(title: Column) -> Column:

@@ -16,6 +16,12 @@ from corpusloom.scratch import materialize
 WINDOW_ROWS = 1_000_000
 
 
+def slices_for(df: DataFrame, rows: int) -> int:
+    """Number of slices of at most about WINDOW_ROWS rows, one per shuffle partition at least."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, -(-rows // WINDOW_ROWS))
+
+
 def range_slices(df: DataFrame, order: list[Column], slices: int | None = None) -> DataFrame:
     """Add ``slice``: the number of the contiguous part of the total order a row is in.
 
@@ -81,11 +87,17 @@ def prefix_sum(
 
 
 def group_prefix_sum(
-    df: DataFrame, weight: Column, order: list[Column], out: str, by: list[str], largest: int
+    df: DataFrame,
+    weight: Column,
+    order: list[Column],
+    out: str,
+    by: list[str],
+    largest: int,
+    rows: int,
 ) -> DataFrame:
-    """`prefix_sum`, by a plain window where the largest group fits one task."""
+    """`prefix_sum` of ``rows`` rows, by a plain window where the largest group fits one task."""
     if largest > WINDOW_ROWS:
-        return prefix_sum(df, weight, order, out, by)
+        return prefix_sum(df, weight, order, out, by, slices_for(df, rows))
     window = (
         Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )

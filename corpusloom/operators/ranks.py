@@ -32,15 +32,14 @@ def rank_correlation(distances: DataFrame) -> DataFrame:
     pair are brought together beyond a partial aggregation.
     """
     distances = materialize(distances, "distances")
-    sizes = distances.groupBy("dataset").count()
-    largest = sizes.agg(F.max("count")).head()[0] or 0
+    sizes = distances.groupBy("dataset").count().agg(F.max("count"), F.sum("count")).head()
+    limits = {"by": ["dataset"], "largest": sizes[0] or 0, "rows": sizes[1] or 0}
     one = F.lit(1).cast("long")
-    by = ["dataset"]
     scored = group_prefix_sum(
-        distances, one, [F.col("score").desc(), F.col("line_no")], "pos1", by, largest
+        distances, one, [F.col("score").desc(), F.col("line_no")], "pos1", **limits
     )
     placed = group_prefix_sum(
-        scored, one, [F.col("distance"), F.col("pos1")], "pos2", by, largest
+        scored, one, [F.col("distance"), F.col("pos1")], "pos2", **limits
     )
     distinct = placed.groupBy(*PAIR).agg(
         F.count("*").alias("copies"),
@@ -48,7 +47,7 @@ def rank_correlation(distances: DataFrame) -> DataFrame:
         F.min("pos2").alias("pos2"),
     )
     ranked = group_prefix_sum(
-        distinct, F.col("copies"), [F.col("pos2")], "before", by, largest
+        distinct, F.col("copies"), [F.col("pos2")], "before", **limits
     ).withColumn("rank2", F.col("before") + (F.col("copies") + 1) / 2)
     sums = ranked.groupBy("dataset").agg(
         F.sum("copies").alias("n"),

@@ -11,6 +11,13 @@ from corpusloom.functions import text as T
 LITERAL_PAIRS = 1_000
 # Leading characters that index the words of a longer list in running text.
 GRAM = 3
+# Pairs of one word that are kept together in a row.
+TOGETHER = 10_000
+
+
+def _part(pairs: DataFrame) -> Column:
+    """A number that cuts the pairs into parts of about TOGETHER rows."""
+    return F.pmod(F.xxhash64("word1", "word2"), F.lit(pairs.count() // TOGETHER + 1))
 
 
 def pair_list(pairs: DataFrame) -> list[tuple[str, str]] | None:
@@ -47,10 +54,12 @@ def with_pair_tokens(
 def _ids_with_long_list(docs: DataFrame, pairs: DataFrame, tokens: str, key: str) -> DataFrame:
     """Ids of the documents with both words of a pair, by joins.
 
-    Every word of a document meets the list of its partners once, and the
+    Every word of a document meets the lists of its partners, and the
     document's own token array answers whether one of them occurs.
     """
-    partners = pairs.groupBy("word1").agg(F.collect_set("word2").alias("partners"))
+    partners = pairs.groupBy("word1", _part(pairs).alias("part")).agg(
+        F.collect_set("word2").alias("partners")
+    )
     rows = docs.select(
         key, F.col(tokens).alias("all_words"), F.explode(F.array_distinct(tokens)).alias("word1")
     )
@@ -75,7 +84,7 @@ def _ids_with_long_text_list(docs: DataFrame, pairs: DataFrame, text: str, key:
     characters, so the pairs are looked up by these.
     """
     gram = F.left("word1", F.lit(GRAM))
-    by_gram = pairs.groupBy(gram.alias("gram")).agg(
+    by_gram = pairs.groupBy(gram.alias("gram"), _part(pairs).alias("part")).agg(
         F.collect_set(F.struct("word1", "word2")).alias("candidates")
     )
     rows = docs.select(key, text, F.explode(_grams(F.col(text))).alias("gram"))

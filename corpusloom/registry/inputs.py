@@ -71,19 +71,19 @@ def analogy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector paired with another one (or an unknown word) and a made-up rating.
 
-    Ratings tie often, and every pair with an even number occurs twice, with two
-    ratings.
+    Ratings tie often, and pairs rated above 4 occur a second time with another
+    rating.  The labels make up two data sets.
     """
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
     size = table.count()
     base = table.select(
-        F.when(F.col("vec_id") % 3 == 0, "first").otherwise("second").alias("dataset"),
+        F.when(F.col("label") < 3, "first").otherwise("second").alias("dataset"),
         F.col("vec_id").alias("line_no"),
         F.col("vec_id").cast("string").alias("word1"),
         ((F.col("vec_id") * 5 + 1) % (size + 20)).cast("string").alias("word2"),
         ((F.col("vec_id") * 13 % 37) / 4).alias("score"),
     )
-    again = base.where("line_no % 2 = 0").withColumns(
+    again = base.where("score > 4").withColumns(
         {"line_no": F.col("line_no") + 1_000_000_000, "score": F.col("score") + 1}
     )
     return base.unionByName(again)

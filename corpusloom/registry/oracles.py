@@ -176,7 +176,7 @@ SELECT label::BIGINT AS pair_id, min(vec_id)::VARCHAR AS word1,
   CASE WHEN label = 9 THEN 'oov' ELSE max(vec_id)::VARCHAR END AS word2
 FROM embeddings GROUP BY label)"""
 RATED = """base AS (
-SELECT CASE WHEN vec_id % 3 = 0 THEN 'first' ELSE 'second' END AS dataset, vec_id AS line_no,
+SELECT CASE WHEN label < 3 THEN 'first' ELSE 'second' END AS dataset, vec_id AS line_no,
   vec_id::VARCHAR AS word1,
   ((vec_id * 5 + 1) % ((SELECT count(*) FROM embeddings) + 20))::VARCHAR AS word2,
   (vec_id * 13 % 37)::DOUBLE / 4 AS score
@@ -184,7 +184,7 @@ FROM embeddings),
 rated AS (
 SELECT * FROM base
 UNION ALL
-SELECT dataset, line_no + 1000000000, word1, word2, score + 1 FROM base WHERE line_no % 2 = 0)"""
+SELECT dataset, line_no + 1000000000, word1, word2, score + 1 FROM base WHERE score > 4)"""
 ZEROS = f"list_transform(range(1, {DIM + 1}), lambda i: 0.0::DOUBLE)"
 NORM = "sqrt(list_dot_product({0}, {0}))"
 FILLED = f"""filled AS (

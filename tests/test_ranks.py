@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.operators import ordering
 from corpusloom.operators.ranks import rank_correlation, similarity_scores
