@@ -14,12 +14,13 @@ from corpusloom.scratch import materialize
 
 # Rows one task sorts for a plain window; larger groups are cut into slices.
 WINDOW_ROWS = 1_000_000
+# Rows of a slice, about, where the number of rows is known.
+SLICE_ROWS = 200_000
 
 
-def slices_for(df: DataFrame, rows: int) -> int:
-    """Number of slices of at most about WINDOW_ROWS rows, one per shuffle partition at least."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, -(-rows // WINDOW_ROWS))
+def slices_for(rows: int) -> int:
+    """Number of slices for a table of ``rows`` rows."""
+    return max(1, -(-rows // SLICE_ROWS))
 
 
 def range_slices(df: DataFrame, order: list[Column], slices: int | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def group_prefix_sum(
 ) -> DataFrame:
     """`prefix_sum` of ``rows`` rows, by a plain window where the largest group fits one task."""
     if largest > WINDOW_ROWS:
-        return prefix_sum(df, weight, order, out, by, slices_for(df, rows))
+        return prefix_sum(df, weight, order, out, by, slices_for(rows))
     window = (
         Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -38,6 +38,7 @@ def random_rows(rng, n):
 @pytest.mark.parametrize("limit", [ordering.WINDOW_ROWS, 3])
 def test_correlation_equals_lists(spark, monkeypatch, limit):
     monkeypatch.setattr(ordering, "WINDOW_ROWS", limit)
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 20)
     rng = random.Random(8)
     sets = {f"s{i}": random_rows(rng, n) for i, n in enumerate([1, 2, 3, 5, 20, 40, 60, 90])}
     rows = [(name, i, *r) for name, part in sets.items() for i, r in enumerate(part)]
