@@ -57,6 +57,22 @@ MARKUP_REWRITES = [
 ]
 REDIRECT_MARK = "#redirect"
 
+# Rewrites whose plain pattern reads on to the end of the text from every opening
+# that is never closed.  These forms give the same result: the last group takes
+# an unclosed rest in one match and is put back.
+UNCLOSED = {
+    r"<[^>]*>": (r"<[^>]*>|(<[^>]*+\z)", "$1"),
+    r"\[\[category:([^|\]]*)[^\]]*\]\]": (r"\[\[category:([^|\]]*+)[^\]]*+\]\]", "[[$1]]"),
+    r"\[\[[a-z\-]*:[^\]]*\]\]": (
+        r"\[\[[a-z\-]*:[^\]]*\]\]|(\[\[[a-z\-]*:[^\]]*+\z)",
+        "$1",
+    ),
+    r"\[\[[^|\]]*\|": (r"\[\[[^|\]]*\||\[\[([^|\]]*+\z)", "[[$1"),
+    r"\{\{[^}]*\}\}": (r"\{\{[^}]*\}\}|(\{\{[^}]*+\z)", "$1"),
+    r"\{[^}]*\}": (r"\{[^}]*\}|(\{[^}]*+\z)", "$1"),
+}
+ENTITY = r"&[^;]*;"
+
 # Word characters that are not decimal digits (letters, letter
 # numbers, other numbers, underscore), and the line-break token of phrase input.
 ALPHABETIC_RUN = r"[\p{L}\p{Nl}\p{No}_]+"
@@ -87,10 +103,30 @@ def clean_markup(body: Column, decode_entities: bool = True) -> Column:
     if decode_entities:
         col = _literal_rewrites(col, ENTITY_REWRITES)
     for pattern, replacement in MARKUP_REWRITES:
-        col = F.regexp_replace(col, pattern, replacement)
+        if pattern == ENTITY:
+            col = _replace_entities(col, replacement)
+        else:
+            col = F.regexp_replace(col, *UNCLOSED.get(pattern, (pattern, replacement)))
     return F.concat(F.lit(" "), col)
 
 
+def _replace_entities(text: Column, replacement: str) -> Column:
+    """ENTITY replaced; the text is cut at semicolons, so each part is read once."""
+
+    def shortened(part: Column) -> Column:
+        entity = F.concat(F.substring_index(part, "&", 1), F.lit(replacement))
+        return F.when(F.contains(part, F.lit("&")), entity).otherwise(
+            F.concat(part, F.lit(";"))
+        )
+
+    def joined(parts: Column) -> Column:
+        closed = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), shortened)
+        return F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
+
+    # the lambda binds the parts, which are computed once per row
+    return F.get(F.transform(F.array(F.split(text, ";")), joined), F.lit(0))
+
+
 def is_redirect(body: Column) -> Column:
     return F.contains(F.lower(body), F.lit(REDIRECT_MARK))
 

@@ -458,6 +458,19 @@ UNION ALL SELECT 'n_pairs', n_pairs::DOUBLE FROM accuracy
 UNION ALL SELECT 'n_answered', n_answered::DOUBLE FROM accuracy
 UNION ALL SELECT dataset || ':rho', rho FROM rho
 UNION ALL SELECT dataset || ':coverage', coverage::DOUBLE FROM rho""",
+    "sampled_sentences": f"""WITH {LINES},
+parts AS (
+SELECT doc_id, line_no,
+  list_filter({ALPHABETIC}, lambda t: NOT list_contains({STOP_LIST}, t)) AS tokens FROM lines),
+tokens AS (
+SELECT doc_id, line_no, unnest(range(len(tokens))) AS pos, unnest(tokens) AS word FROM parts),
+share AS (
+SELECT word, 1e-6 / (count(*)::DOUBLE / (SELECT count(*) FROM tokens)::DOUBLE) AS ratio
+FROM tokens GROUP BY word)
+SELECT doc_id, line_no, string_agg(word, ' ' ORDER BY pos) AS text FROM tokens JOIN share USING (word)
+WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13))::BIGINT::DOUBLE
+  / pow(16, 13) < least(1.0, sqrt(ratio) + ratio)
+GROUP BY doc_id, line_no""",
     "w2v_fit_vectors": f"""WITH {KEPT}
 SELECT word, 32::BIGINT AS dim, true AS nonzero FROM vocab WHERE cn >= 20""",
     "w2v_transform": f"""WITH {KEPT}

@@ -468,6 +468,12 @@ def fit_small(spark, sf):
     )
 
 
+@query
+def sampled_sentences(spark, sf):
+    rows = training.sampled_sentences(I.documents(spark, sf), stop_list(), portable=True)
+    return rows.select("doc_id", "line_no", F.array_join("raw", " ").alias("text"))
+
+
 @query
 def w2v_fit_vectors(spark, sf):
     rows = training.word_vectors(fit_small(spark, sf))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -69,6 +70,29 @@ def test_markup_each_step(apply):
     assert apply(lambda c: T.clean_markup(c, decode_entities=False), "&lt;b&gt;") == ["  b "]
 
 
+def test_markup_equals_plain_patterns(apply):
+    rng = random.Random(11)
+    pieces = ["<", ">", "{", "}", "{{", "}}", "[[", "]]", "[", "]", "|", ":", ";", "&", "a", "b ", "x\n",
+              "[[category:", "[[image:", "[[de:", "<ref", "</ref>", "[http:", "|thumb", "|12px"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(3000)]
+
+    def plain(text):
+        for pattern, replacement in T.MARKUP_REWRITES:
+            text = re.sub(pattern, replacement.replace("$1", r"\1"), text)
+        return " " + text
+
+    found = apply(lambda c: T.clean_markup(c, decode_entities=False), *texts)
+    assert found == [plain(t) for t in texts]
+
+
+def test_unclosed_markup_is_read_once(apply):
+    n = 100_000
+    for opening in ("<", "{", "{{ ", "[[", "[[a:", "& "):
+        assert apply(T.clean_markup, opening * n)[0].count("a") == (n if "a" in opening else 0)
+    long = "[[category:" + "x" * n
+    assert apply(T.clean_markup, long) == [" category:" + "x" * n]
+
+
 def test_redirects_are_dropped(spark, corpus_of):
     pages = corpus_of("one two three", "x #REDIRECT [[y]]", "a", "line one\nsingle\n\nb c")
     rows = build_corpus({}, {"wiki": pages}).select("doc_id", "line_no", "text").collect()
