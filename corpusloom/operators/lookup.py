@@ -86,7 +86,7 @@ def mean_vectors(
     joined = lookup_join(
         tokens.select(key, "word"), vectors, ["word"], frequent, "left", broadcast_rows=rows
     )
-    parts = [F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dim)]
+    parts = [F.expr(f"sum(double(vector[{i}])) AS s{i}") for i in range(dim)]
     summed = joined.groupBy(key).agg(F.count("*").alias("n_tokens"), *parts)
-    means = [F.coalesce(F.col(f"s{i}") / F.col("n_tokens"), F.lit(0.0)) for i in range(dim)]
+    means = [F.expr(f"coalesce(s{i} / n_tokens, 0.0D)") for i in range(dim)]
     return summed.select(key, "n_tokens", F.array(*means).alias("vector"))

@@ -35,6 +35,14 @@ COUNTRY_CAPITALS = {
         ("spanien", "madrid"),
         ("portugal", "lissabon"),
     ],
+    "de-example": [
+        ("österreich", "wien"),
+        ("deutschland", "berlin"),
+        ("frankreich", "paris"),
+        ("spanien", "madrid"),
+        ("großbritannien", "london"),
+        ("finnland", "helsinki"),
+    ],
 }
 
 

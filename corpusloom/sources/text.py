@@ -10,6 +10,12 @@ from corpusloom.scratch import materialize, spread
 # One row per file split (about 128 MB of text each) is broadcast up to this many.
 BROADCAST_SPLITS = 2_000_000
 
+# Titles of a German example corpus.
+EXAMPLE_TITLES_DE = [
+    "Österreich", "Wien", "Deutschland", "Berlin", "Frankreich", "Paris", "Spanien", "Madrid",
+    "Vereinigtes Königreich", "London", "Finnland", "Helsinki",
+]
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines ``(src, line_no, doc_id, text)`` of files, directories or globs.

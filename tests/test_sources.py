@@ -87,6 +87,7 @@ def test_stop_word_sources(spark, tmp_path):
 
 def test_titles_file(spark, tmp_path):
     (tmp_path / "t.txt").write_text("Wien\nVereinigtes Königreich")
+    assert {"Wien", "Vereinigtes Königreich"} <= set(text.EXAMPLE_TITLES_DE)
     assert [r.title for r in text.read_titles(spark, str(tmp_path / "t.txt")).collect()] == ["Wien", "Vereinigtes Königreich"]
 
 

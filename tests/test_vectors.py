@@ -148,7 +148,7 @@ def test_synonyms_skip_unknown_words(spark, table):
 
 
 def test_pair_lists():
-    assert {k: len(v) for k, v in COUNTRY_CAPITALS.items()} == {"en": 11, "de": 11}
+    assert {k: len(v) for k, v in COUNTRY_CAPITALS.items()} == {"en": 11, "de": 11, "de-example": 6}
 
 
 def test_evaluation_reports(spark, table):
