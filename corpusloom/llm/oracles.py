@@ -1,3 +1,74 @@
 """SQL texts of the queries of this package that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+# A-Z to a-z, then words; null has none.
+LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op10_decontamination"] = f"""
+WITH item AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, list_slice(w, i, least(i + 12, len(w))) AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+doc AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+lens AS (SELECT DISTINCT len(p) AS n FROM win),
+place AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM doc, lens)
+),
+hit AS (SELECT place.doc_id, place.i, place.n, win.item_id FROM place JOIN win USING (p)),
+hit_word AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS pos FROM hit),
+words AS (SELECT doc_id, count(*) AS n_hit FROM hit_word GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES["op9_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT DISTINCT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES["op2_url_filter"] = """
+WITH rules(rule, verdict) AS (
+  VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'),
+    ('com/fr/', 'allow'), ('com/de/', 'block')
+),
+cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+),
+u AS (
+  SELECT row_number() OVER () AS n, page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
+  FROM cut
+),
+m AS (
+  SELECT u.n, rule, verdict, row_number() OVER (PARTITION BY u.n ORDER BY length(rule) DESC, verdict DESC) AS r
+  FROM u JOIN rules ON starts_with(path, substr(rule, strpos(rule, '/')))
+    AND (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+)
+SELECT page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM u LEFT JOIN m ON m.n = u.n AND m.r = 1
+"""
