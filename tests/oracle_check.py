@@ -14,7 +14,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-DUCKDB_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+DUCKDB_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def connect(sf_dir: str):
