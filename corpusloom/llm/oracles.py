@@ -72,3 +72,29 @@ m AS (
 SELECT page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM u LEFT JOIN m ON m.n = u.n AND m.r = 1
 """
+
+ORACLES["op8_jaccard"] = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM doc WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM doc UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.r
+)
+SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, least_id AS component_id
+FROM doc LEFT JOIN size USING (doc_id)
+JOIN (SELECT doc_id, min(r) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import decontaminate
+from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, held_out, score_quality
@@ -112,3 +113,9 @@ def op1_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = scan_secrets(docs, fit_forest(findings_by_form(docs)))
     return found.select("doc_id", F.inline("findings"))
+
+
+@query
+def op8_jaccard(spark, sf_dir):
+    """Components of all documents linked by their 4-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
