@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import decontaminate
 from corpusloom.llm.jaccard import jaccard_components
+from corpusloom.llm.language_id import identify_languages
 from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, held_out, score_quality
@@ -119,3 +120,9 @@ def op1_secrets(spark, sf_dir):
 def op8_jaccard(spark, sf_dir):
     """Components of all documents linked by their 4-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    """Language of all pages, from their text, markup, address and host."""
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
