@@ -8,14 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import hot_rows, lookup_join
 from corpusloom.scratch import materialize, new_path
 
 __all__ = ["materialize", "new_path", "table", "words_of", "row_keys", "bytes_of", "lookup", "map_batches"]
 
 # A table is broadcast only while its measured content is below this many bytes.
 BROADCAST_BYTES = 8_000_000
-# Copies of the looked-up side that the rows of a hot key are spread over.
-SALTS = 16
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 # A-Z become a-z, every other byte outside words becomes a space; bytes from 0x80 on belong to words.
@@ -77,14 +76,14 @@ def lookup(
     how: str = "left",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join with a table whose content was measured as ``size`` bytes.
+    """Join with a table, unique on ``on``, whose content was measured as ``size`` bytes.
 
-    Up to ``limit`` bytes it is broadcast.  Beyond that every key of it is
-    copied to ``SALTS`` salts and the rows of ``large`` are dealt over them, so
-    no key gathers more than a share of its rows in one task.
+    Up to ``limit`` bytes it is broadcast.  Beyond that only the rows of hot
+    keys, of which there are less than `skew.HOT_SHARE`, are; the rest, without
+    hot keys, is shuffled.
     """
     if size <= limit:
         return large.join(F.broadcast(small), on, how)
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = materialize(large.groupBy(*on).count(), "key-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return lookup_join(large, small, on, hot_rows(counts, "count", total), how, broadcast_rows=0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import binary, map_batches, materialize, row_keys, words_of
+from corpusloom.llm.common import binary, lookup, map_batches, materialize, row_keys, words_of
 
 # Windows of one automaton; 13 words each stay below the number of code points.
 AUTOMATON_WINDOWS = 80_000
@@ -173,7 +173,7 @@ def decontaminate(
 ) -> DataFrame:
     """Passages of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text), a row for each document.
 
-    Returns ``doc_id, n_words, spans`` (maximal runs of hit words with their
+    Returns ``row_key1, row_key2`` (of the row's id and text), ``doc_id, n_words, spans`` (maximal runs of hit words with their
     places in the text), ``items`` (ids of the items found, ascending),
     ``n_hit`` (hit words) and ``contaminated``.  Other columns are ignored.
 
@@ -188,8 +188,7 @@ def decontaminate(
     patterns = materialize(windows(benchmark, n), "benchmark-windows")
     automata = max(-(-patterns.count() // automaton_windows), 1)
     if automata == 1:
-        found = _scan(rows, [tuple(r) for r in patterns.collect()])
-        return contaminated(found, share).drop("row_key1", "row_key2")
+        return contaminated(_scan(rows, [tuple(r) for r in patterns.collect()]), share)
     block = F.pmod(F.xxhash64("window", "item_id"), F.lit(automata))
     passes = [
         materialize(_scan(rows, [tuple(r) for r in patterns.where(block == b).collect()]), "benchmark-hits")
@@ -205,5 +204,17 @@ def decontaminate(
         (F.count(F.lit(1)) / automata).cast("int").alias("copies"),
     )
     copied = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    merged = map_batches(copied.select(*_HIT_NAMES), _merge, HITS)
-    return contaminated(merged, share).drop("row_key1", "row_key2")
+    return contaminated(map_batches(copied.select(*_HIT_NAMES), _merge, HITS), share)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = decontaminate(docs, benchmark, n, share)
+    keys = ["row_key1", "row_key2"]
+    dirty = materialize(found.where("contaminated").select(*keys).distinct(), "contaminated")
+    # the row in one column, as its own names may be any
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole
+    ).select("row", *row_keys("doc_id", "text"))
+    return lookup(keyed, dirty, keys, 16 * dirty.count(), "left_anti").select("row.*")

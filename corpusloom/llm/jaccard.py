@@ -487,3 +487,33 @@ def _second_round(sets: DataFrame, components: DataFrame, rule: Rule) -> DataFra
         "grp", "cluster", "doc_id", "side", "component", "shingles"
     )
     return materialize(every.groupBy("grp").applyInArrow(_group_links(rule, True), "a long, b long"), "links")
+
+
+def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` but for documents whose component has a smaller one, with all their columns.
+
+    Rows that share a doc_id are one document: of them, the one of least text
+    stays.  Rows without a doc_id all stay.
+    """
+    found = materialize(
+        jaccard_components(docs, rule)
+        .where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")),
+        "document-components",
+    )
+    later = found.where("component_id < doc_id").select("doc_id")
+    # the row in one column, as its own names may be any
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
+    kept = lookup(rows, later, ["doc_id"], 8 * later.count(), "left_anti")
+    several = found.where("n > 1").select("doc_id")
+    size = 8 * several.count()
+    if not size:
+        return kept.select("row.*")
+    one = (
+        lookup(kept, several, ["doc_id"], size, "inner")
+        .groupBy("doc_id")
+        .agg(F.min_by("row", F.struct(F.col("text").isNotNull(), F.col("text"))).alias("row"))
+    )
+    return lookup(kept, several, ["doc_id"], size, "left_anti").select("row").unionByName(one.select("row")).select("row.*")

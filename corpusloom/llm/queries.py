@@ -16,6 +16,7 @@ from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, held_out, score_quality
 from corpusloom.llm.secrets import findings_by_form, fit_forest, scan_secrets
+from corpusloom.llm.substrings import remove_repeats
 from corpusloom.llm.topk import top_k
 from corpusloom.llm.url_filter import judge_urls, rule_table
 
@@ -126,3 +127,16 @@ def op8_jaccard(spark, sf_dir):
 def op6_language_id(spark, sf_dir):
     """Language of all pages, from their text, markup, address and host."""
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substrings(spark, sf_dir):
+    """All documents without the bytes of repeated 200-byte strings."""
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
