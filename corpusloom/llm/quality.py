@@ -13,12 +13,14 @@ whole texts.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import binary, map_batches
 from corpusloom.llm.hashing import prefix_hash, run_hash
@@ -100,6 +102,8 @@ def lines_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     A text without line feeds, also an empty one, is one line.
     """
     lengths = np.array([t.count(b"\n") + 1 if t else 1 for t in texts], dtype=np.int64)
+    if not texts:
+        return np.zeros((0, FEATURES)), np.zeros(0, dtype=np.int64), lengths
     rows, hashes, sizes = [], [], []
     whole = b"\n".join([t or b"" for t in texts]) + b"\n"
     at = 0
@@ -253,19 +257,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample
     short = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    lines = F.length(F.col("text")) - F.length(F.translate("text", "\n", "")) < sample_lines
     features = []
     for good in (0, 1):
         # drawn by hash; bounded by ``sample``
         drawn = known.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows = short.join(F.broadcast(drawn), "doc_id").where(F.coalesce(lines, F.lit(True))).select("text", "good")
-        features.append(rows)
+        features.append(short.join(F.broadcast(drawn), "doc_id").select("text", "good"))
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, _, lengths = lines_of(binary(batch.column("text")))
+        texts = binary(batch.column("text"))
+        some = [i for i, t in enumerate(texts) if not t or t.count(b"\n") < sample_lines]
+        x, _, lengths = lines_of([texts[i] for i in some])
         ends = np.cumsum(lengths)
         parts = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, lengths)]
-        columns = [pa.array(parts, pa.binary()), batch.column("good")]
+        columns = [pa.array(parts, pa.binary()), batch.column("good").take(pa.array(some, pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=["lines", "good"])
 
     rows = map_batches(features[0].unionByName(features[1]), measured, "lines binary, good int").collect()
@@ -311,19 +315,14 @@ def score_quality(docs: DataFrame, field: Field, with_lines: bool = False) -> Da
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose quality is at least ``threshold``, with all their columns."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score, _ = document_scores(field, binary(batch.column(text_at).cast(pa.string())))
-        return batch.filter(pa.array(score >= threshold))
-
-    # a place, as other columns may have the same name but for case
-    text_at = [c.lower() for c in docs.columns].index("text")
-    return docs.mapInArrow(_each(run), docs.schema)
-
-
-def _each(function):
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield function(batch)
+                score, _ = document_scores(field, binary(batch.column("text")))
+                yield batch.select(["row"]).filter(pa.array(score >= threshold))
 
-    return run
+    # the row in one column, as its own names may be any
+    rows = docs.select(
+        F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema, False)])).select("row.*")

@@ -106,10 +106,11 @@ def _histogram(candidates: DataFrame, key: str, shared, low: np.ndarray, width:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         total = np.zeros((n, BINS), dtype=np.int64)
         for queries, _, scores, other in _block(key, shared).slices(batch, scale):
-            at = (scores - low[queries][:, None]) // width[queries][:, None]
-            take = other & (at >= 0)
+            least, step = low[queries][:, None], width[queries][:, None]
+            take = other & (scores >= least)
             row = np.broadcast_to(queries[:, None], scores.shape)[take]
-            bins = np.minimum(at[take], BINS - 1)
+            # within the range first, so that no difference leaves 64 bits
+            bins = ((np.minimum(scores, least + (BINS * step - 1)) - least) // step)[take]
             total += np.bincount(row * BINS + bins, minlength=n * BINS).reshape(n, BINS)
         # only the highest bins, down to where k scores are reached: the kth highest of all
         # batches cannot lie below the kth of one batch
@@ -177,7 +178,7 @@ def _block_top(candidates: DataFrame, rows: list, k: int, scale: int, largest: f
     scaled = [np.floor(scale * np.array(r["embedding"], dtype=np.float64)).tolist() for r in rows]
     key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(([r["vec_id"] for r in rows], scaled))
     # |floor(scale * x)| is at most scale * |x| + 1
-    bounds = [min(int(sum(map(abs, v))) * (int(scale * largest) + 2), _LONG // 4) for v in scaled]
+    bounds = [min(int(sum(map(abs, v))) * (int(scale * largest) + 2), _LONG // 8) for v in scaled]
     low = np.array([-b - 1 for b in bounds], dtype=np.int64)
     width = np.array([max(-(-(2 * b + 3) // BINS), 1) for b in bounds], dtype=np.int64)
     settled = np.zeros(len(rows), dtype=bool)
@@ -188,7 +189,8 @@ def _block_top(candidates: DataFrame, rows: list, k: int, scale: int, largest: f
         bins = {r["q"]: r["bin"] for r in reached.select("q", "bin").collect()}
         for q in np.flatnonzero(~settled):
             if int(q) not in bins:
-                settled[q] = True  # fewer than k candidates: all of them count
+                # fewer than k reach the range: all candidates count
+                low[q], settled[q] = -_LONG - 1, True
                 continue
             low[q] += bins[int(q)] * width[q]
             settled[q] = width[q] == 1
