@@ -147,15 +147,17 @@ def blank_tokens(text: Column) -> Column:
     Line ends, and lone line-break tokens, become elements that equal LINE_END.
     """
     flat = F.replace(F.translate(text, "\t\r", " "), F.lit("\n"), F.lit(f" {LINE_END} "))
-    tokens = F.filter(F.split(flat, " "), lambda t: t != "")
+    tokens = F.array_remove(F.split(flat, " "), "")
     mark = F.lit(LINE_BREAK_TOKEN)
-    return F.transform(tokens, lambda t: F.when(t == mark, F.lit(LINE_END)).otherwise(t))
+    marked = F.transform(tokens, lambda t: F.when(t == mark, F.lit(LINE_END)).otherwise(t))
+    # few texts hold the token at all
+    return F.when(F.contains(text, mark), marked).otherwise(tokens)
 
 
 def flat_tokens(text: Column) -> Column:
     """Phrase tokens of a whole text, line ends passed over."""
     tokens = F.split(F.translate(text, "\t\n\r", "  "), " ")
-    return F.filter(tokens, lambda t: (t != "") & (t != LINE_BREAK_TOKEN))
+    return F.array_remove(F.array_remove(tokens, ""), LINE_BREAK_TOKEN)
 
 
 def truncate_bytes(token: Column, length: int) -> Column:

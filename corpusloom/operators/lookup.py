@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators.skew import lookup_join
+from corpusloom.operators.skew import hot_rows, lookup_join
 
 # Vector components that are broadcast at most (128 MB of doubles).
 BROADCAST_VALUES = 16_000_000
@@ -78,11 +78,11 @@ def mean_vectors(
 
     Tokens that meet a broadcast vector stay where they are, so their sums
     combine before the shuffle.  Of a vector table too large to broadcast, the
-    most frequent words that fit are; only tokens of the others are shuffled.
+    hot words' vectors are; only tokens of the others are shuffled.
     """
     dim = dimension(vectors)
     rows = max(1, broadcast_values // dim)
-    frequent = counts.orderBy(F.col("cn").desc(), "word").limit(rows)
+    frequent = hot_rows(counts, "cn", counts.agg(F.sum("cn")).head()[0] or 0)
     joined = lookup_join(
         tokens.select(key, "word"), vectors, ["word"], frequent, "left", broadcast_rows=rows
     )

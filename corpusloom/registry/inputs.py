@@ -31,7 +31,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as documents, numbered in conversation order."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return table.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return table.select((F.col("conv_id") * 2**32 + F.col("turn")).alias("doc_id"), "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("vec_id") * 13 % 37) / 4).alias("score"),
     )
     again = base.where("score > 4").withColumns(
-        {"line_no": F.col("line_no") + 1_000_000_000, "score": F.col("score") + 1}
+        {"line_no": F.col("line_no") + 2**62, "score": F.col("score") + 1}
     )
     return base.unionByName(again)
 

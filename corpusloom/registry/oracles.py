@@ -184,7 +184,7 @@ FROM embeddings),
 rated AS (
 SELECT * FROM base
 UNION ALL
-SELECT dataset, line_no + 1000000000, word1, word2, score + 1 FROM base WHERE score > 4)"""
+SELECT dataset, line_no + 4611686018427387904, word1, word2, score + 1 FROM base WHERE score > 4)"""
 ZEROS = f"list_transform(range(1, {DIM + 1}), lambda i: 0.0::DOUBLE)"
 NORM = "sqrt(list_dot_product({0}, {0}))"
 FILLED = f"""filled AS (
@@ -320,7 +320,15 @@ ORACLES = {
     "text_file_lines": f"""WITH {LINES}
 SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id, text FROM lines""",
     "text_files_appended": f"""
-SELECT text FROM ({lines_of("documents")}) UNION ALL SELECT text FROM ({lines_of("conversations", "conv_id")})""",
+SELECT row_number() OVER (ORDER BY batch, a, b, line_no) - 1 AS doc_id, text FROM (
+SELECT 0 AS batch, doc_id AS a, 0 AS b, line_no, text FROM ({lines_of("documents")})
+UNION ALL SELECT 1, conv_id, turn, line_no, text FROM ({lines_of("conversations", "conv_id, turn")}))""",
+    "token_corpus_file": f"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, array_to_string(list_filter({ALPHABETIC},
+  lambda t: length(t) BETWEEN 2 AND 15 AND NOT starts_with(t, '_')), ' ') AS text FROM documents""",
+    "titles_file": f"WITH {PAGES} SELECT title FROM pages_as_wiki",
+    "stopword_file_removed": f"""WITH {VOCAB}
+SELECT word, cn FROM vocab WHERE word NOT IN ({STOP})""",
     "tokens_space": f"WITH {TOKENS} SELECT * FROM tokens",
     "tokens_phrase": f"WITH {BLANK_TOKENS} SELECT * FROM tokens",
     "alpha_tokens": f"""
@@ -356,6 +364,12 @@ SELECT word, cn FROM vocab WHERE cn >= 5 ORDER BY cn DESC, word LIMIT 50""",
 share AS (
 SELECT word, 1e-6 / (cn::DOUBLE / (SELECT count(*) FROM tokens)::DOUBLE) AS ratio FROM vocab)
 SELECT doc_id, line_no, pos, word FROM tokens JOIN share USING (word)
+WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13))::BIGINT::DOUBLE
+  / pow(16, 13) < least(1.0, sqrt(ratio) + ratio)""",
+    "subsample_tokens_small_rate": f"""WITH {VOCAB},
+share AS (
+SELECT word, 1e-8 / (cn::DOUBLE / (SELECT count(*) FROM tokens)::DOUBLE) AS ratio FROM vocab)
+SELECT doc_id, line_no, pos, word FROM tokens JOIN share USING (word)
 WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13))::BIGINT::DOUBLE
   / pow(16, 13) < least(1.0, sqrt(ratio) + ratio)""",
     "normalize_text": f"""WITH {LINES}
@@ -366,7 +380,7 @@ SELECT doc_id, line_no, text FROM lines WHERE {SEVERAL_FIELDS}""",
     "wiki_tokens_filtered": f"WITH {PAGES} {ARTICLE_TOKENS}",
     "wiki_xml_dump": f"WITH {PAGES} {ARTICLE_TOKENS}",
     "corpus_union": f"""WITH {BODIES},
-talk AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+talk AS (SELECT conv_id * 4294967296 + turn AS doc_id, text FROM conversations),
 every_line AS (
 SELECT 'documents' AS source, * FROM ({lines_of("documents")})
 UNION ALL SELECT 'benchmark', * FROM ({lines_of("benchmark", "item_id")})
@@ -394,6 +408,13 @@ SELECT key, cn FROM one_vocab""",
     "corpus_words": f"WITH {BLANK_TOKENS} SELECT count(*) AS words FROM tokens",
     "phrase_scores": f"""WITH {BLANK_TOKENS}, {score_ctes("one", "tokens", True)}
 SELECT prev, word, pa, pb, pab, round(score, 6) AS score FROM one_scores""",
+    "phrase_scores_second_pass": f"""WITH {LINES}, {phrase_ctes("one", "lines", 200)},
+two_tokens AS MATERIALIZED ({tokens_of("one_lines", blank=True)}), {score_ctes("two", "two_tokens", True)}
+SELECT prev, word, pa, pb, pab, round(score, 6) AS score FROM two_scores""",
+    "phrase_scores_single": f"""WITH {BLANK_TOKENS}, {score_ctes("one", "tokens", True)}
+SELECT prev, word, pa, pb, pab, CAST(CAST(CAST(CAST(pab - 5 AS FLOAT) / CAST(pa AS FLOAT) AS FLOAT)
+  / CAST(pb AS FLOAT) AS FLOAT) * CAST((SELECT count(*) FROM tokens) AS FLOAT) AS DOUBLE) AS score
+FROM one_scores""",
     "phrase_joined_lines": f"""WITH {LINES}, {phrase_ctes("one", "lines", 100)}
 SELECT * FROM one_lines""",
     "phrase_joined_lines_line_counts": f"""WITH {LINES}, {phrase_ctes("one", "lines", 100, False)}
@@ -471,6 +492,19 @@ SELECT doc_id, line_no, string_agg(word, ' ' ORDER BY pos) AS text FROM tokens J
 WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13))::BIGINT::DOUBLE
   / pow(16, 13) < least(1.0, sqrt(ratio) + ratio)
 GROUP BY doc_id, line_no""",
+    "w2v_fit_sampled": f"""WITH {LINES},
+parts AS (
+SELECT doc_id, line_no,
+  list_filter({ALPHABETIC}, lambda t: NOT list_contains({STOP_LIST}, t)) AS tokens FROM lines),
+tokens AS (
+SELECT doc_id, line_no, unnest(range(len(tokens))) AS pos, unnest(tokens) AS word FROM parts),
+share AS (
+SELECT word, 1e-3 / (count(*)::DOUBLE / (SELECT count(*) FROM tokens)::DOUBLE) AS ratio
+FROM tokens GROUP BY word)
+SELECT word, 16::BIGINT AS dim FROM tokens JOIN share USING (word)
+WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13))::BIGINT::DOUBLE
+  / pow(16, 13) < least(1.0, sqrt(ratio) + ratio)
+GROUP BY word HAVING count(*) >= 20""",
     "w2v_fit_vectors": f"""WITH {KEPT}
 SELECT word, 32::BIGINT AS dim, true AS nonzero FROM vocab WHERE cn >= 20""",
     "w2v_transform": f"""WITH {KEPT}

@@ -24,6 +24,7 @@ from corpusloom.operators.lookup import (
 from corpusloom.operators.projection import pair_map
 from corpusloom.operators.subsample import subsample
 from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, words
+from corpusloom.operators.rows import small_table
 from corpusloom.plans import training
 from corpusloom.plans.build_corpus import build_corpus, normalized_lines, pair_articles, pair_lines
 from corpusloom.plans.corpus_stats import corpus_stats, kept_words
@@ -75,10 +76,37 @@ def text_file_lines(spark, sf):
 def text_files_appended(spark, sf):
     """Lines of one source and then of another one, written to the same text files."""
     path = new_path(spark, "appended")
-    for source in (I.documents, I.conversations):
+    for batch, source in enumerate((I.documents, I.conversations)):
         lines = files.document_lines(source(spark, sf))
-        files.write_lines(lines, path, ["doc_id", "line_no"], mode="append")
-    return files.read_lines(spark, path).select("text")
+        files.write_lines(lines, path, ["doc_id", "line_no"], batch, files=3)
+    return files.read_lines(spark, path).select("doc_id", "text")
+
+
+@query
+def token_corpus_file(spark, sf):
+    """Articles written one per line, their tokens joined by a space, and read back."""
+    path = new_path(spark, "articles")
+    docs = I.documents(spark, sf)
+    articles = docs.select("doc_id", T.article_tokens(F.col("text")).alias("tokens"))
+    files.write_tokens(articles, "tokens", path, ["doc_id"])
+    return files.read_lines(spark, path).select("doc_id", "text")
+
+
+@query
+def titles_file(spark, sf):
+    """Titles of pages written as a list and read back."""
+    path = new_path(spark, "titles")
+    I.pages(spark, sf).select(F.col("title").alias("value")).write.text(path)
+    return files.read_titles(spark, path)
+
+
+@query
+def stopword_file_removed(spark, sf):
+    """Counts of the words that are not in a stop-word file, which has an empty line."""
+    path = new_path(spark, "stop")
+    small_table(spark, value=stop_list()).write.text(path)
+    kept = stopwords.remove_by_join(words(I.documents(spark, sf)), lists.read_stopwords(spark, path))
+    return kept.groupBy("word").agg(F.count("*").alias("cn"))
 
 
 @query
@@ -167,6 +195,15 @@ def subsample_tokens(spark, sf):
     return subsample(space_token_rows(docs), vocab, total, portable=True)
 
 
+@query
+def subsample_tokens_small_rate(spark, sf):
+    """At a rate at which the frequent words may be too many to broadcast."""
+    docs = I.documents(spark, sf)
+    vocab = materialize(counts.word_counts(words(docs), 1), "vocabulary")
+    total = counts.vocabulary_metrics(vocab).head().words_in_corpus
+    return subsample(space_token_rows(docs), vocab, total, rate=1e-8, portable=True)
+
+
 # -- cleaning and corpus building
 
 
@@ -290,11 +327,25 @@ def corpus_words(spark, sf):
 
 @query
 def phrase_scores(spark, sf):
-    docs = I.documents(spark, sf)
-    scored = phrases.score_pairs(docs, materialize(key_counts(docs), "vocabulary"))
+    scored, _ = phrases.corpus_scores(I.documents(spark, sf))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query
+def phrase_scores_second_pass(spark, sf):
+    """Scores over the joined words of a first pass, whose tokens hold underscores themselves."""
+    once = materialize(phrases.join_phrases(I.documents(spark, sf), threshold=200.0), "first-pass")
+    scored, _ = phrases.corpus_scores(once)
     return scored.withColumn("score", F.round("score", 6))
 
 
+@query
+def phrase_scores_single(spark, sf):
+    """Scores rounded to single precision after each step."""
+    scored, _ = phrases.corpus_scores(I.documents(spark, sf), single=True)
+    return scored.withColumn("score", F.col("score").cast("double"))
+
+
 @query
 def phrase_joined_lines(spark, sf):
     return files.document_lines(phrases.join_phrases(I.documents(spark, sf)))
@@ -328,6 +379,7 @@ def rated_pairs_file(spark, sf):
     path = new_path(spark, "rated")
     rated = I.rated_pairs(spark, sf).select("word1", "word2", "score")
     rated.write.option("sep", "\t").csv(path, header=True)
+    # the order of the lines is that of one file
     return read_rated_pairs(spark, path, "made up").drop("line_no")
 
 
@@ -468,6 +520,14 @@ def fit_small(spark, sf):
     )
 
 
+@query
+def w2v_fit_sampled(spark, sf):
+    """Vectors fitted on sentences whose frequent words were thinned out."""
+    rows = training.sampled_sentences(I.documents(spark, sf), stop_list(), rate=1e-3, portable=True)
+    model = training.fit_sentences(rows, vector_size=16, num_partitions=8, min_count=20)
+    return training.word_vectors(model).select("word", F.size("vector").cast("long").alias("dim"))
+
+
 @query
 def sampled_sentences(spark, sf):
     rows = training.sampled_sentences(I.documents(spark, sf), stop_list(), portable=True)

@@ -70,9 +70,10 @@ def union_lists(*lists: list[str]) -> list[str]:
     return list(dict.fromkeys(word for part in lists for word in part))
 
 
-def stopword_list(table: DataFrame, limit: int = 100_000) -> list[str]:
-    """Words of a table as a list, for the operators that test array elements."""
+def stopword_list(table: DataFrame, limit: int = 100_000) -> list[str] | None:
+    """Words of a table as a list, for the operators that test array elements.
+
+    None if there are more than ``limit``: such a table goes to `remove_by_join`.
+    """
     words = [row.word for row in table.limit(limit + 1).collect()]
-    if len(words) > limit:
-        raise ValueError(f"more than {limit} stop words: use remove_by_join on token rows")
-    return words
+    return words if len(words) <= limit else None

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.scratch import materialize, spread
 
-# One row per file split (about 128 MB of text each) is broadcast up to this many.
-BROADCAST_SPLITS = 2_000_000
+# One row per file split (about 128 MB of text each) is broadcast up to this many bytes.
+BROADCAST_BYTES = 256_000_000
+# Text of a written file, about.
+FILE_BYTES = 128_000_000
 
 # Titles of a German example corpus.
 EXAMPLE_TITLES_DE = [
@@ -20,23 +22,33 @@ EXAMPLE_TITLES_DE = [
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines ``(src, line_no, doc_id, text)`` of files, directories or globs.
 
-    ``line_no`` counts within a file and ``doc_id`` through all files in path
-    order, both from 0.  The codec follows the file extension.
+    ``line_no`` counts within a file and ``doc_id`` through all files, both from
+    0.  Files are in the order of their folders, then of the numbers of their
+    parts, then of their names.  The codec follows the file extension.
+
+    The files are read twice, for the number of lines of each split and for
+    the lines; the text itself is not written again.
     """
-    scan = spark.read.text(path).select(
+    scan = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("src"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
-    return number_lines(materialize(scan, "lines"))
+    return number_lines(scan)
+
+
+def file_order() -> list[Column]:
+    """Order of files ``src``: folder, number of the part (none for other names), name."""
+    part = F.nullif(F.regexp_extract("src", "part-([0-9]+)[^/]*$", 1), F.lit(""))
+    return [F.regexp_extract("src", "^(.*)/", 1), F.coalesce(part.cast("decimal(38,0)"), F.lit(-1)), F.col("src")]
 
 
 def number_lines(rows: DataFrame) -> DataFrame:
     """Dense line numbers from ``(src, block, seq, text)``.
 
-    ``seq`` rises without gaps inside a split ``(src, block)``.  Only one row
-    per split is ordered globally.
+    ``seq`` rises without gaps inside a split ``(src, block)``, and is the same
+    whenever ``rows`` is read.  Only one row per split is ordered globally.
     """
     splits = materialize(
         rows.groupBy("src", "block").agg(
@@ -45,7 +57,7 @@ def number_lines(rows: DataFrame) -> DataFrame:
         "splits",
     )
     before = (Window.unboundedPreceding, -1)
-    in_all = Window.orderBy("src", "block").rowsBetween(*before)
+    in_all = Window.orderBy(*file_order(), "block").rowsBetween(*before)
     in_file = Window.partitionBy("src").orderBy("block").rowsBetween(*before)
     offsets = splits.select(
         "src",
@@ -54,7 +66,8 @@ def number_lines(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("line_offset"),
         F.coalesce(F.sum("n").over(in_all), F.lit(0)).alias("doc_offset"),
     )
-    if splits.count() <= BROADCAST_SPLITS:
+    size = splits.agg(F.sum(F.octet_length("src") + 48)).head()[0] or 0
+    if size <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     index = F.col("seq") - F.col("first_seq")
     return rows.join(offsets, ["src", "block"]).select(
@@ -89,21 +102,28 @@ def union_corpora(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def write_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists",
-                compression: str | None = None) -> None:
-    """Write column ``text`` one line per row; files follow the ``order`` columns."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).select("text")
-    ordered.write.mode(mode).text(path, compression=compression)
+def write_lines(df: DataFrame, path: str, order: list[str], batch: int | None = None,
+                compression: str | None = None, files: int | None = None) -> None:
+    """Write column ``text`` one line per row; files follow the ``order`` columns.
+
+    A ``batch`` is appended below ``path``: batches are read back in the order of
+    their numbers, after files written without one.  Without ``files`` their
+    number follows from the size of the text.
+    """
+    if files is None:
+        size = df.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+        files = max(-(-size // FILE_BYTES), 1)
+    target = path if batch is None else f"{path}/batch-{batch:012d}"
+    ordered = df.repartitionByRange(files, *order).sortWithinPartitions(*order).select("text")
+    ordered.write.text(target, compression=compression)
 
 
-def write_tokens(df: DataFrame, tokens: str, path: str, order: list[str],
-                 mode: str = "errorifexists") -> None:
+def write_tokens(df: DataFrame, tokens: str, path: str, order: list[str], batch: int | None = None) -> None:
     """Write one article per line, its tokens joined by a space."""
-    write_lines(df.withColumn("text", F.array_join(tokens, " ")), path, order, mode)
+    write_lines(df.withColumn("text", F.array_join(tokens, " ")), path, order, batch)
 
 
-def write_phrase_lines(df: DataFrame, path: str, order: list[str],
-                       mode: str = "errorifexists") -> None:
+def write_phrase_lines(df: DataFrame, path: str, order: list[str], batch: int | None = None) -> None:
     """Write phrase-joined lines; every unit is led by a space, as in the line format."""
     lead = F.when(F.col("text") == "", F.col("text")).otherwise(F.concat(F.lit(" "), "text"))
-    write_lines(df.withColumn("text", lead), path, order, mode)
+    write_lines(df.withColumn("text", lead), path, order, batch)

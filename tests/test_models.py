@@ -72,10 +72,12 @@ def test_sentence_vector_counts_unknown_words_as_zero(spark, model):
     assert found[1] == [0.0] * 8
 
 
-def test_too_large_a_model_is_refused(planted, monkeypatch):
-    monkeypatch.setattr(training, "MODEL_VALUES", 10)
-    with pytest.raises(ValueError, match="min_count"):
-        training.fit_vectors(planted, ["the"], **PARAMS)
+def test_prepared_sentences_and_iterations(planted):
+    rows = training.sampled_sentences(planted, ["the"], rate=1.0)
+    known = vectors_of(training.fit_sentences(rows, **PARAMS))
+    again = vectors_of(training.fit_sentences(rows, **PARAMS, iterations=2))
+    assert known.keys() == again.keys() and "cat" in known
+    assert any(list(known[w]) != list(again[w]) for w in known)
 
 
 def test_without_stop_words(planted):
