@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.skew import hot_rows, lookup_join, salted_join
+from corpusloom.scratch import materialize
 
 # Pair lists up to this length are tested inside the row; longer ones are joined.
 LITERAL_PAIRS = 1_000
-# Leading characters that index the words of a longer list in running text.
-GRAM = 3
+# Words of a longer list that are looked for in one scan of the texts.
+SCAN_WORDS = 100_000
+# Wanted words that are broadcast, at most this many bytes of them.
+WANTED_BYTES = 8_000_000
 # Pairs of one word that are kept together in a row.
 TOGETHER = 10_000
 
@@ -41,7 +49,7 @@ def with_pair_tokens(
     """Documents whose token array holds both words of any pair."""
     short = pair_list(pairs)
     if short is None:
-        return docs.join(_ids_with_long_list(docs, pairs, tokens, key), key, "left_semi")
+        return docs.join(_ids_of_pairs(_found_tokens(docs, pairs, tokens, key), pairs, key), key, "left_semi")
     wanted = sorted({word for pair in short for word in pair})
     literal = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
     found = F.array(F.array_intersect(tokens, literal))
@@ -51,19 +59,80 @@ def with_pair_tokens(
     )
 
 
-def _ids_with_long_list(docs: DataFrame, pairs: DataFrame, tokens: str, key: str) -> DataFrame:
-    """Ids of the documents with both words of a pair, by joins.
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """Distinct words of either side of the pairs."""
+    both = pairs.select(F.explode(F.array("word1", "word2")).alias("word"))
+    return materialize(both.where(F.col("word").isNotNull()).distinct(), "wanted-words")
+
+
+def _found_tokens(docs: DataFrame, pairs: DataFrame, tokens: str, key: str) -> DataFrame:
+    """Wanted words ``(key, word)`` that are tokens of a document; no tokens travel with them."""
+    wanted = _wanted(pairs)
+    rows = docs.select(key, F.explode(F.array_distinct(tokens)).alias("word"))
+    size = wanted.agg(F.sum(F.octet_length("word") + 16)).head()[0] or 0
+    if size <= WANTED_BYTES:
+        return rows.join(F.broadcast(wanted), "word")
+    counts = materialize(rows.groupBy("word").agg(F.count("*").alias("cn")), "word-documents")
+    total = counts.agg(F.sum("cn")).head()[0] or 0
+    return lookup_join(rows, wanted, ["word"], hot_rows(counts, "cn", total), broadcast_rows=0)
+
+
+def _found_in_text(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+    """Wanted words ``(key, word)`` that a text contains.
 
-    Every word of a document meets the lists of its partners, and the
-    document's own token array answers whether one of them occurs.
+    An automaton of a bounded number of words is met with every text in its
+    own task, so no text is shuffled.
     """
+    wanted = _wanted(pairs)
+    scans = max(-(-wanted.count() // SCAN_WORDS), 1)
+    rows, kind = docs.select(key, text), docs.schema[key].dataType.simpleString()
+    part = F.pmod(F.xxhash64("word"), F.lit(scans))
+    found = None
+    for nth in range(scans):
+        words = [r.word for r in wanted.where(part == nth).collect()]
+        hits = rows.mapInArrow(_word_scan(key, text, words), f"`{key}` {kind}, word string")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _word_scan(key: str, text: str, words: list[str]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            if word:
+                automaton.add_word(word, word)
+        automaton.make_automaton()
+        always = {""} & set(words)
+        for batch in batches:
+            rows, found = [], []
+            for i, value in enumerate(batch.column(text)):
+                if not value.is_valid:
+                    continue
+                own = always | ({word for _, word in automaton.iter(value.as_py())} if len(automaton) else set())
+                rows += [i] * len(own)
+                found += sorted(own)
+            keys = batch.column(key).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string())], names=[key, "word"])
+
+    return scan
+
+
+def _ids_of_pairs(found: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Ids of the documents that have both words of a pair, from the wanted words found in them.
+
+    Every word found meets the lists of its partners, and the document's other
+    wanted words answer whether one of them occurs.
+    """
+    found = materialize(found, "found-words")
     partners = pairs.groupBy("word1", _part(pairs).alias("part")).agg(
         F.collect_set("word2").alias("partners")
     )
-    rows = docs.select(
-        key, F.col(tokens).alias("all_words"), F.explode(F.array_distinct(tokens)).alias("word1")
-    )
-    hits = rows.join(partners, "word1").where(F.arrays_overlap("all_words", "partners"))
+    own = found.groupBy(key).agg(F.collect_set("word").alias("own"))
+    rows = own.select(key, "own", F.explode("own").alias("word1"))
+    counts = materialize(found.groupBy("word").agg(F.count("*").alias("cn")), "word-documents")
+    total = counts.agg(F.sum("cn")).head()[0] or 0
+    hot = hot_rows(counts, "cn", total).withColumnRenamed("word", "word1")
+    hits = salted_join(rows, partners, ["word1"], hot).where(F.arrays_overlap("own", "partners"))
     return hits.select(key).distinct()
 
 
@@ -73,42 +142,10 @@ def with_pair_substrings(
     """Documents whose text contains both words of any pair, also inside other words."""
     short = pair_list(pairs)
     if short is None:
-        return docs.join(_ids_with_long_text_list(docs, pairs, text, key), key, "left_semi")
+        return docs.join(_ids_of_pairs(_found_in_text(docs, pairs, text, key), pairs, key), key, "left_semi")
     return docs.where(_any_pair(short, lambda word: F.contains(F.col(text), word)))
 
 
-def _ids_with_long_text_list(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """Ids of the documents that contain both words of a pair, by joins.
-
-    A text can only contain a word if it contains the word's first GRAM
-    characters, so the pairs are looked up by these.
-    """
-    gram = F.left("word1", F.lit(GRAM))
-    by_gram = pairs.groupBy(gram.alias("gram"), _part(pairs).alias("part")).agg(
-        F.collect_set(F.struct("word1", "word2")).alias("candidates")
-    )
-    rows = docs.select(key, text, F.explode(_grams(F.col(text))).alias("gram"))
-
-    def holds(pair: Column) -> Column:
-        return F.contains(F.col(text), pair["word1"]) & F.contains(F.col(text), pair["word2"])
-
-    hits = rows.join(by_gram, "gram").where(F.exists("candidates", holds))
-    return hits.select(key).distinct()
-
-
-def _grams(text: Column) -> Column:
-    """Distinct substrings of 0 to GRAM characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    grams = [F.array(F.lit("")), chars]
-    for n in range(2, GRAM + 1):
-        ends = [F.slice(chars, i + 1, F.greatest(F.size(chars) - n + 1, F.lit(0))) for i in range(n)]
-        joined = ends[0]
-        for end in ends[1:]:
-            joined = F.zip_with(joined, end, lambda a, b: F.concat(a, b))
-        grams.append(joined)
-    return F.array_distinct(F.concat(*grams))
-
-
 def first_documents(
     docs: DataFrame, found: DataFrame, n: int = 1000, key: str = "doc_id"
 ) -> DataFrame:

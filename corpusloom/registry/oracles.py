@@ -66,6 +66,10 @@ DOC_TOKENS = "string_split(replace(text, chr(10), ' '), ' ')"
 VOCAB = f"{TOKENS}, vocab AS (SELECT word, count(*) AS cn FROM tokens GROUP BY word)"
 KEPT = f"""{TOKENS},
 vocab AS (SELECT word, count(*) AS cn FROM tokens WHERE lower(word) NOT IN ({STOP}) GROUP BY word)"""
+MANY_PAIRS = """listed AS (SELECT word FROM vocab WHERE cn >= 8 AND length(word) > 5),
+pairs AS (
+SELECT * FROM (SELECT word AS word1, lead(word) OVER (ORDER BY word) AS word2 FROM listed)
+WHERE word2 IS NOT NULL)"""
 ALPHABETIC = f"regexp_extract_all(lower(text), '{ALPHABETIC_RUN}')"
 PAGES = """pages_as_wiki AS (
 SELECT page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html AS text
@@ -391,6 +395,12 @@ SELECT source, doc_id, line_no, {normalized("text")} AS text FROM every_line)
 SELECT * FROM normal WHERE source <> 'pages' OR {SEVERAL_FIELDS}""",
     "docs_with_pair_tokens": f"SELECT doc_id FROM documents WHERE {PAIR_TOKENS}",
     "docs_with_pair_substring": f"SELECT doc_id FROM documents WHERE {PAIR_SUBSTRINGS}",
+    "docs_with_long_pair_list_tokens": f"""WITH {VOCAB}, {MANY_PAIRS},
+own AS (SELECT DISTINCT doc_id, word FROM tokens)
+SELECT DISTINCT a.doc_id FROM pairs JOIN own a ON a.word = word1
+JOIN own b ON b.word = word2 AND b.doc_id = a.doc_id""",
+    "docs_with_long_pair_list_substring": f"""WITH {VOCAB}, {MANY_PAIRS}
+SELECT DISTINCT doc_id FROM documents JOIN pairs ON contains(text, word1) AND contains(text, word2)""",
     "first_n_matching_docs": f"""
 SELECT doc_id, text FROM documents WHERE {PAIR_SUBSTRINGS} ORDER BY doc_id LIMIT 20""",
     "pair_article_corpus": f"""

@@ -21,6 +21,7 @@ from corpusloom.operators.lookup import (
     pair_vectors,
     pair_words,
 )
+from corpusloom.operators.ordering import previous_value
 from corpusloom.operators.projection import pair_map
 from corpusloom.operators.subsample import subsample
 from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, words
@@ -282,6 +283,24 @@ def docs_with_pair_substring(spark, sf):
     return select.with_pair_substrings(docs, selection_pairs(spark)).select("doc_id")
 
 
+def many_pairs(spark, sf):
+    """Neighbours in alphabetical order among the frequent long words: a list beyond the literal ones."""
+    vocab = counts.word_counts(words(I.documents(spark, sf)), 8).where("length(word) > 5")
+    near = previous_value(vocab.select("word"), "word", ["word"], "word1")
+    return near.where("word1 IS NOT NULL").select("word1", F.col("word").alias("word2"))
+
+
+@query
+def docs_with_long_pair_list_tokens(spark, sf):
+    docs = I.documents(spark, sf).select("doc_id", T.document_space_tokens(F.col("text")).alias("tokens"))
+    return select.with_pair_tokens(docs, many_pairs(spark, sf)).select("doc_id")
+
+
+@query
+def docs_with_long_pair_list_substring(spark, sf):
+    return select.with_pair_substrings(I.documents(spark, sf), many_pairs(spark, sf)).select("doc_id")
+
+
 @query
 def first_n_matching_docs(spark, sf):
     return pair_lines(I.documents(spark, sf), selection_pairs(spark), 20)

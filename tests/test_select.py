@@ -38,6 +38,17 @@ def test_pairs_as_substrings(docs, pairs, monkeypatch, limit):
     assert ids(select.with_pair_substrings(docs, pairs)) == expected
 
 
+def test_long_lists_in_several_scans(docs, pairs, monkeypatch):
+    monkeypatch.setattr(select, "LITERAL_PAIRS", 2)
+    monkeypatch.setattr(select, "SCAN_WORDS", 2)
+    monkeypatch.setattr(select, "WANTED_BYTES", 0)
+    expected = [i for i, t in enumerate(TEXTS) if any(a in t and b in t for a, b in PAIRS)]
+    assert ids(select.with_pair_substrings(docs, pairs)) == expected
+    tokens = docs.select("doc_id", T.space_tokens(F.col("text")).alias("tokens"))
+    expected = [i for i, t in enumerate(TEXTS) if any(a in t.split(" ") and b in t.split(" ") for a, b in PAIRS)]
+    assert ids(select.with_pair_tokens(tokens, pairs)) == expected
+
+
 def test_no_pairs(docs, spark):
     none = spark.createDataFrame([], "word1 string, word2 string")
     assert ids(select.with_pair_substrings(docs, none)) == []
