@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.skew import hot_rows, lookup_join
-from corpusloom.scratch import materialize, new_path
-
-__all__ = ["materialize", "new_path", "table", "words_of", "row_keys", "bytes_of", "lookup", "map_batches"]
+from corpusloom.scratch import materialize
 
 # A table is broadcast only while its measured content is below this many bytes.
 BROADCAST_BYTES = 8_000_000
@@ -51,6 +49,25 @@ def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def each_text(column: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a string column, few of them held at a time."""
+    for at in range(0, len(column), 256):
+        yield from binary(column.slice(at, 256))
+
+
+def text_parts(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Texts of a string column in lists of about ``size`` bytes, with the number of their first row."""
+    at, held, total = 0, [], 0
+    for i, text in enumerate(each_text(column)):
+        held.append(text)
+        total += len(text or b"")
+        if total >= size:
+            yield at, held
+            at, held, total = i + 1, [], 0
+    if held:
+        yield at, held
+
+
 def row_keys(*columns: str) -> list[Column]:
     """Two 64-bit keys of a row's content: rows with equal content share them, others do not."""
     return [
@@ -75,15 +92,25 @@ def lookup(
     size: int,
     how: str = "left",
     limit: int = BROADCAST_BYTES,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join with a table, unique on ``on``, whose content was measured as ``size`` bytes.
 
-    Up to ``limit`` bytes it is broadcast.  Beyond that only the rows of hot
-    keys, of which there are less than `skew.HOT_SHARE`, are; the rest, without
-    hot keys, is shuffled.
+    Up to ``limit`` bytes it is broadcast.  Beyond that only its rows of hot
+    keys are, of which there are less than `skew.HOT_SHARE`; the rest, without
+    hot keys, is shuffled.  ``hot`` names the hot keys where they are known;
+    else the keys of ``large`` are counted.
     """
     if size <= limit:
         return large.join(F.broadcast(small), on, how)
-    counts = materialize(large.groupBy(*on).count(), "key-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return lookup_join(large, small, on, hot_rows(counts, "count", total), how, broadcast_rows=0)
+    if hot is None:
+        counts = materialize(large.groupBy(*on).count(), "key-counts")
+        hot = hot_rows(counts, "count", counts.agg(F.sum("count")).first()[0] or 0)
+    if hot.isEmpty():
+        return large.join(small, on, how)
+    return lookup_join(large, small, on, hot, how, table_rows=1, broadcast_rows=0)
+
+
+def join_rows(rows: DataFrame, small: DataFrame, on: list[str], size: int, how: str, limit: int) -> DataFrame:
+    """`lookup` for documents, whose keys repeat only in repeated rows: what is shuffled needs no count before."""
+    return rows.join(F.broadcast(small) if size <= limit else small, on, how)

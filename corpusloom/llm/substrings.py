@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import binary, bytes_of, lookup, map_batches, materialize
+from corpusloom.llm.common import bytes_of, each_text, join_rows, lookup, map_batches, materialize, text_parts
 from corpusloom.llm.hashing import mix, prefix_hash, run_hash
+from corpusloom.operators.skew import hot_rows
 
 # Bytes of the short runs whose smallest hash deals out a window.
 GRAM = 32
@@ -31,11 +32,13 @@ GRAM = 32
 NEAR = 8
 # Window starts of a run at most, and bytes that are hashed together.
 RUN = 4096
-CHUNK = 1_000_000
+CHUNK = 500_000
+# Bytes of a run whose common prefixes follow from one another.
+LANE = 16
 # Bytes of text of a shard.
 SHARD_BYTES = 192_000
 # Tables of places are broadcast up to this many bytes.
-PLACE_BYTES = 24_000_000
+PLACE_BYTES = 1_000_000
 
 # A place holds the row's mark, the number of window starts and the first of them.
 _MARK, _COUNT, _START = 16, 13, 34
@@ -123,13 +126,13 @@ def _measure_runs(rows: DataFrame, length: int) -> DataFrame:
     """``least, own, doc_id, place, again`` of all runs of windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = binary(batch.column("text"))
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
-        for least, own, row, start, count, again in _runs_of(texts, length):
-            place = _place(marks[row], count, start)
-            for kept, x in zip(out, (least.view(np.int64), own.view(np.int64), row, place, again)):
-                kept.append(x)
+        for at, part in text_parts(batch.column("text")):
+            for least, own, row, start, count, again in _runs_of(part, length):
+                place = _place(marks[row + at], count, start)
+                for kept, x in zip(out, (least.view(np.int64), own.view(np.int64), row + at, place, again)):
+                    kept.append(x)
         none = [np.zeros(0, dtype=np.int64)]
         least, own, row, place, again = (np.concatenate(x or none) for x in out)
         columns = [pa.array(least), pa.array(own), batch.column("doc_id").take(pa.array(row)), pa.array(place)]
@@ -206,9 +209,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
 
     By Kasai's rule a suffix shares at least as many as the suffix one byte
     earlier, less one.  All the runs of text, from ``starts`` to ``ends``, are
-    gone through at the same time, a byte each.
+    gone through at the same time, a byte each; long ones in parts of `LANE`
+    bytes, of which each begins anew.
     """
     n = len(data)
+    parts = -(-(ends - starts) // LANE)
+    nth_part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts, ends = np.repeat(starts, parts) + nth_part * LANE, np.repeat(ends, parts)
+    ends = np.minimum(ends, starts + LANE)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
     word = np.concatenate([_words(data), np.zeros(most + 16, dtype=np.uint64)])
@@ -370,13 +378,13 @@ def _run_texts(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     )
     size = bytes_of(wanted)[1] + 56 * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)
     # a repeated row holds the same text: one of them is enough
-    texts = lookup(rows, wanted, ["doc_id", "mark"], size, "inner", PLACE_BYTES)
+    texts = join_rows(rows, wanted, ["doc_id", "mark"], size, "inner", PLACE_BYTES)
     names = ["least", "own", "copies", "starts", "shard", "shards"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in names]
         found = []
-        for text, runs in zip(binary(batch.column("text")), batch.column("runs").to_pylist()):
+        for text, runs in zip(each_text(batch.column("text")), batch.column("runs").to_pylist()):
             for r in runs:
                 for kept, name in zip(out, names):
                     kept.append(r[name])
@@ -395,10 +403,12 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         runs.groupBy("least")
         .agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
         .where("n > 1 OR again")
-        .select("least"),
+        .select("least", "n"),
         "repeated-hashes",
     )
-    again = lookup(runs, twice, ["least"], 8 * twice.count(), "inner", PLACE_BYTES)
+    facts = twice.agg(F.count(F.lit(1)), F.sum("n")).first()
+    hot = hot_rows(twice, "n", facts[1] or 0)
+    again = lookup(runs, twice.drop("n"), ["least"], 8 * facts[0], "inner", PLACE_BYTES, hot)
     again = materialize(
         again.select(
             "least",
@@ -459,7 +469,8 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         marked = marked.unionByName(merged)
     marked = materialize(marked.where(F.size("spans") > 0), "marked-runs")
     size = 24 * marked.count() + 32 * (marked.agg(F.sum(F.size("spans"))).first()[0] or 0)
-    placed = lookup(again, marked, ["least", "own"], size, "inner", PLACE_BYTES)
+    hot = hot_rows(kinds, "copies", kinds.agg(F.sum("copies")).first()[0] or 0)
+    placed = lookup(again, marked, ["least", "own"], size, "inner", PLACE_BYTES, hot)
     spans = F.transform(
         "spans",
         lambda s: F.struct(
@@ -512,11 +523,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD_
     )
     spans = repeated_spans(rows.select("doc_id", "text", _mark_of("text").alias("mark")), length, shard_bytes)
     size = bytes_of(spans)[1] + 24 * (spans.agg(F.sum(F.size("spans"))).first()[0] or 0)
-    marked = lookup(rows.withColumn("mark", _mark_of("text")), spans, ["doc_id", "mark"], size, "left", PLACE_BYTES)
+    marked = join_rows(rows.withColumn("mark", _mark_of("text")), spans, ["doc_id", "mark"], size, "left", PLACE_BYTES)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, kept = [], [], []
-        for text, found in zip(binary(batch.column("text")), batch.column("spans").to_pylist()):
+        for text, found in zip(each_text(batch.column("text")), batch.column("spans").to_pylist()):
             merged: list[list[int]] = []
             for a, b in sorted((s["start"], s["end"]) for s in found or ()):
                 if merged and a <= merged[-1][1]:
