@@ -1,18 +1,20 @@
 """Exact Jaccard join of shingle sets with signature trees.
 
 1. Every document's set of shingles is hashed; documents of equal sets are one
-   class, named by its smallest id.  Shingles that very many documents have
-   are found by a fixed-size table of counts.
-2. Sets that are similar enough share a shingle among their first few, in an
-   order that puts the shingles of few documents first (prefix filter).  Classes
-   that share such a shingle are put in one cluster.
-3. Clusters are cut into blocks of bounded size.  In a block, or a pair of
+   class, named by its smallest id.
+2. Similar sets share several of their smallest hashes.  Classes of which
+   too many of these occur in no other class are similar to none; for the
+   others, which are few, all shingles are counted.
+3. Similar sets share a shingle among their first few, in an order that puts
+   rare shingles first (prefix filter).  Classes that share one are put in one
+   cluster.
+4. Clusters are cut into blocks of bounded size.  In a block, or a pair of
    blocks, a signature tree is built: its nodes hold the OR of their members'
    bitmaps and the range of their sizes.  Two trees are walked together, and a
    pair of nodes is left out when their greatest possible overlap is below what
    their sizes need, or when all their members are linked already.  What is
-   left is compared exactly.
-4. Links are joined into components.  Pairs within a component need not be
+   left is compared exactly, by the shingles that any two classes share.
+5. Links are joined into components.  Pairs within a component need not be
    compared, so only blocks whose members are not yet all linked meet in pairs.
 
 Nothing is sampled or capped: a cluster of any size is a number of block pairs.
@@ -25,17 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import binary, bytes_of, lookup, map_batches, materialize
+from corpusloom.llm.common import bytes_of, join_rows, lookup, map_batches, materialize, text_parts
 from corpusloom.llm.components import connected
 from corpusloom.llm.hashing import mix, prefix_hash, run_hash
+from corpusloom.operators.skew import hot_rows
 
-# Entries of the table of counts, by which frequent shingles are found.
-COUNTERS = 1 << 22
-# A counter stands out in a task from this many documents on, beyond four times the mean.
-STANDS_OUT = 5
+# Smallest hashes that are counted beyond those that the prefix filter needs, in hundredths of a set.
+EXTRA = 5
+# Tables of candidates, and of their shingles, are broadcast up to this many bytes.
+CANDIDATE_BYTES, SHINGLE_BYTES = 4_000_000, 500_000
 # Shingles of a block.
 BLOCK_SHINGLES = 16_384
 # Members that stand in every block of a cluster in the first round.
@@ -59,10 +62,24 @@ class Rule:
     n: int = 4
     percent: int = 85
 
-    def prefix(self, size: np.ndarray) -> np.ndarray:
-        """How many first shingles of a set of ``size`` must be looked at."""
+    def prefix(self, size):
+        """How many first shingles of a set of ``size`` must be looked at for one that a similar set shares."""
         return size - (self.percent * size + 99) // 100 + 1
 
+    def smallest(self, size):
+        """How many smallest hashes of a set are counted."""
+        return np.minimum(self.prefix(size) + EXTRA * size // 100, size)
+
+    def shared(self, size: Column) -> tuple[Column, Column]:
+        """Smallest hashes that are counted, and how many of them a similar set shares at least.
+
+        A similar set may be smaller, by the similarity; the smaller one of
+        both tells how many they share.
+        """
+        least = F.floor((size * self.percent + 99) / 100)
+        counted = F.least(size - least + 1 + F.floor(size * EXTRA / 100), size)
+        return counted, F.floor(least * EXTRA / 100) + 1
+
     def links(self, overlap, a, b):
         return 100 * overlap >= self.percent * (a + b - overlap)
 
@@ -98,98 +115,130 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     return sets
 
 
-def _parts(batch: pa.RecordBatch, column: str = "text", size: int = 4_000_000) -> Iterator[tuple[int, list]]:
-    """The texts of a batch in lists of bounded size, with the number of their first row."""
-    at, held, total = 0, [], 0
-    for i, text in enumerate(binary(batch.column(column))):
-        held.append(text)
-        total += len(text or b"")
-        if total >= size:
-            yield at, held
-            at, held, total = i + 1, [], 0
-    if held:
-        yield at, held
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set, as two signed numbers."""
+    one = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    two = mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
+    return int(np.uint64(one).view(np.int64)), int(np.uint64(two).view(np.int64))
 
 
-def _measure(rows: DataFrame, n: int) -> DataFrame:
-    """A row for each document: ``doc_id, n, d1, d2`` (size and digest of its set); and rows of frequent
-    counters: ``counter, n``."""
+def _measure(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``doc_id, n, d1, d2, smallest``: size and digest of each document's set, and its smallest hashes."""
+    names = ["doc_id", "n", "d1", "d2", "smallest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(COUNTERS, dtype=np.uint32), 0
-        names = ["doc_id", "n", "d1", "d2", "counter"]
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for _, texts in _parts(batch):
-                sets = shingle_sets(texts, n)
-                every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-                np.add.at(counts, (every & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                total += len(every)
-                for s in sets:
-                    out[0].append(len(s))
-                    out[1].append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                    out[2].append(int(mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)))
-            columns = [batch.column("doc_id")] + [pa.array(c, pa.int64()) for c in out]
-            columns.append(pa.nulls(batch.num_rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        high = np.flatnonzero(counts >= STANDS_OUT + 4 * total // COUNTERS)
-        none = pa.nulls(len(high), pa.int64())
-        columns = [none, pa.array(counts[high].astype(np.int64)), none, none, pa.array(high)]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, counter long")
-
-
-_FREQUENT: dict[int, np.ndarray] = {}
-
-
-def _prefixes(rows: DataFrame, rule: Rule, frequent: list[tuple[int, int]]) -> DataFrame:
-    """``(token, doc_id)``: the first shingles of each document, those of few documents first."""
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (np.array([c for c, _ in frequent], dtype=np.int64), np.array([n for _, n in frequent], dtype=np.uint32))
+            for at, texts in text_parts(batch.column("text")):
+                sets = shingle_sets(texts, rule.n)
+                digests = [_digests(s) for s in sets]
+                columns = [
+                    batch.column("doc_id").slice(at, len(texts)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([d[0] for d in digests], pa.int64()),
+                    pa.array([d[1] for d in digests], pa.int64()),
+                    pa.array([s[: int(rule.smallest(np.int64(len(s))))].tobytes() for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, smallest binary")
+
+
+def _unpacked(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """``(token, key)``: a row for each hash in a packed column."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = batch.column(column).to_pylist()
+        counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
+        owner = batch.column(key).take(pa.array(np.repeat(np.arange(len(packed)), counts)))
+        tokens = np.frombuffer(b"".join(packed), "<i8")
+        return pa.RecordBatch.from_arrays([pa.array(tokens), owner], names=["token", key])
+
+    return map_batches(rows.select(column, key), run, f"token long, {key} long")
+
+
+def _candidates(measured: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Classes of which enough smallest hashes are those of other classes too."""
+    tokens = _unpacked(measured.where("doc_id IS NOT NULL AND n > 0"), "smallest", "d1")
+    own = tokens.groupBy("token").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
+    alone = own.groupBy("d1").agg(F.count(F.lit(1)).alias("alone"))
+    counted, shared = rule.shared(F.col("n"))
+    joined = classes.drop("copies").join(alone, "d1", "left")
+    return joined.where(counted - F.coalesce("alone", F.lit(0)) >= shared).select(
+        F.col("class_id").alias("doc_id"), "n", "d1", "d2"
     )
 
+
+def _members(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
+    """``doc_id, n, shingles`` (those that other candidates have) ``, firsts`` (those of the prefix filter)."""
+    wanted = materialize(candidates, "candidates")
+    texts = join_rows(rows, wanted, ["doc_id"], 32 * wanted.count(), "inner", CANDIDATE_BYTES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(COUNTERS, dtype=np.uint32)
-        counters, numbers = shared.value
-        rank[counters] = numbers
         for batch in batches:
-            ids = batch.column("doc_id")
-            for at, texts in _parts(batch):
-                tokens, owners = [], []
-                for i, s in enumerate(shingle_sets(texts, rule.n)):
-                    if len(s):
-                        order = np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                        p = int(rule.prefix(np.int64(len(s))))
-                        tokens.append(s[order[:p]])
-                        owners.append(np.full(p, at + i))
-                if tokens:
-                    owner = ids.take(pa.array(np.concatenate(owners)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), owner], names=["token", "doc_id"]
-                    )
-
-    return rows.mapInArrow(run, "token long, doc_id long")
+            one, two = (batch.column(c).to_pylist() for c in ("d1", "d2"))
+            for at, part in text_parts(batch.column("text")):
+                sets = shingle_sets(part, rule.n)
+                # rows may share an id; only that of the class counts
+                own = [i for i, s in enumerate(sets) if _digests(s) == (one[at + i], two[at + i])]
+                if own:
+                    owner = np.repeat([at + i for i in own], [len(sets[i]) for i in own])
+                    token = np.concatenate([sets[i] for i in own]).view(np.int64)
+                    columns = [pa.array(token), batch.column("doc_id").take(pa.array(owner))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id"])
+
+    tokens = texts.select("doc_id", "text", "d1", "d2").mapInArrow(run, "token long, doc_id long")
+    tokens = materialize(tokens, "shingles")
+    numbers = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    )
+    numbers = materialize(numbers.where("low < high").select("token", "docs"), "shared-shingles")
+    facts = numbers.agg(F.count(F.lit(1)), F.sum("docs")).first()
+    hot = hot_rows(numbers, "docs", facts[1] or 0)
+    shared = lookup(tokens, numbers, ["token"], 16 * facts[0], "inner", SHINGLE_BYTES, hot)
+    # a row for each document; its shingles are no more than its text
+    own = shared.groupBy("doc_id").agg(F.collect_set(F.struct("docs", "token")).alias("own"))
+    own = own.join(wanted.select("doc_id", "n"), "doc_id")
+
+    def order(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles, firsts = [], []
+        flat = batch.column("own").flatten()
+        docs, token = (flat.field(i).to_numpy() for i in (0, 1))
+        ends = np.cumsum([len(x) for x in batch.column("own")])
+        for low, high, n in zip([0, *ends[:-1]], ends, batch.column("n").to_pylist()):
+            s, d = token[low:high].view(np.uint64), docs[low:high]
+            shingles.append(np.sort(s).tobytes())
+            # shingles that no other candidate has come before all of these
+            rest = max(int(rule.prefix(n)) - (n - len(s)), 0)
+            firsts.append(s[np.lexsort((s, d))[:rest]].tobytes())
+        columns = [batch.column("doc_id"), batch.column("n"), pa.array(shingles, pa.binary()), pa.array(firsts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "shingles", "firsts"])
+
+    ordered = map_batches(own.select("doc_id", "n", "own"), order, "doc_id long, n long, shingles binary, firsts binary")
+    return materialize(ordered.where("octet_length(firsts) > 0"), "members")
 
 
 # -- signature trees
 
 
 class Tree:
-    """Levels of nodes over sets; the first level is the sets themselves."""
+    """Levels of nodes over sets, of which ``sets`` has some shingles and ``sizes`` the number of all.
+
+    The first level is the sets themselves.
+    """
 
-    def __init__(self, sets: list[np.ndarray], width: int):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, width: int):
         # neighbours in the order of their smallest hashes are likely to be alike
         keys = np.array([[s[0], s[min(1, len(s) - 1)]] for s in sets], dtype=np.uint64)
         self.order = np.lexsort((keys[:, 1], keys[:, 0]))
-        size = np.array([len(sets[i]) for i in self.order], dtype=np.int64)
+        size = sizes[self.order]
         bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
         mask = np.uint64(width - 1)
         for row, i in enumerate(self.order):
             at = (sets[i] >> np.uint64(20)) & mask
             np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         # shingles beyond the first on a bit: an overlap holds at most so many more than common bits
-        excess = size - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        given = np.array([len(sets[i]) for i in self.order], dtype=np.int64)
+        excess = given - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         self.levels = [(bits, size, size, excess)]
         while len(self.levels[-1][0]) > 1:
             bits, low, high, excess = self.levels[-1]
@@ -236,9 +285,14 @@ def _width(sets: list[np.ndarray]) -> int:
     return min(1 << (4 * largest - 1).bit_length(), 1 << 16)
 
 
-def dual_links(sets: list[np.ndarray], split: int | None, rule: Rule, known: list | None = None) -> list[tuple[int, int]]:
+def dual_links(
+    sets: list[np.ndarray], sizes: list[int], split: int | None, rule: Rule, known: list | None = None
+) -> list[tuple[int, int]]:
     """Links that join the sets into their components.
 
+    ``sets`` need only hold shingles that several of them have; ``sizes`` are
+    those of the whole sets.
+
     With ``split`` only pairs of one of the first ``split`` sets and one of the
     rest are looked at.  ``known`` names components that are known already;
     links within one are not looked for.
@@ -248,12 +302,12 @@ def dual_links(sets: list[np.ndarray], split: int | None, rule: Rule, known: lis
         first: dict = {}
         for i, c in enumerate(known):
             forest.join(i, first.setdefault(c, i))
-    width = _width(sets)
+    width, size = _width(sets), np.array(sizes, dtype=np.int64)
     if split is None:
-        left = right = Tree(sets, width)
+        left = right = Tree(sets, size, width)
         left_at = right_at = left.order
     else:
-        left, right = Tree(sets[:split], width), Tree(sets[split:], width)
+        left, right = Tree(sets[:split], size[:split], width), Tree(sets[split:], size[split:], width)
         left_at, right_at = left.order, right.order + split
 
     def walk(i: np.ndarray, j: np.ndarray, li: int, lj: int) -> None:
@@ -282,7 +336,7 @@ def dual_links(sets: list[np.ndarray], split: int | None, rule: Rule, known: lis
                     if forest.find(x) == forest.find(y):
                         continue
                     overlap = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if rule.links(overlap, len(sets[x]), len(sets[y])):
+                    if rule.links(overlap, size[x], size[y]):
                         forest.join(x, y)
                         found.append((x, y))
                 continue
@@ -321,7 +375,8 @@ def _group_links(rule: Rule, crossing: bool):
             split = sum(r["side"] == 0 for r in own) if crossing else None
             if len(own) > 1 and (split is None or 0 < split < len(own)):
                 known = [r["component"] for r in own] if crossing else None
-                out += [(own[i]["doc_id"], own[j]["doc_id"]) for i, j in dual_links(sets, split, rule, known)]
+                links = dual_links(sets, [r["n"] for r in own], split, rule, known)
+                out += [(own[i]["doc_id"], own[j]["doc_id"]) for i, j in links]
             at = to
         columns = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)]
         return pa.Table.from_arrays(columns, names=["a", "b"])
@@ -343,96 +398,71 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), block_shingles: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = materialize(_measure(rows, rule.n), "shingle-sets")
-    base = measured.where("counter IS NULL").drop("counter")
-    known = base.where("doc_id IS NOT NULL AND n > 0")
-    frequent = measured.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("n").alias("n"))
-    # at most COUNTERS rows, whatever the input
-    prefixes = materialize(
-        _prefixes(rows.where("doc_id IS NOT NULL"), rule, [tuple(r) for r in frequent.collect()]), "prefixes"
-    )
+    measured = materialize(_measure(rows, rule), "shingle-sets")
+    base = measured.drop("smallest")
     classes = materialize(
-        known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")),
+        base.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(
+            F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")
+        ),
         "classes",
     )
+    members = _members(rows, _candidates(measured, classes, rule), rule)
     # the smallest document of a shared shingle is the hub of a star
-    hubs = prefixes.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    stars = prefixes.join(hubs.drop("last"), "token").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    # copies of a class other than its first are left out: they have the same shingles
-    firsts = classes.select(F.col("class_id").alias("doc_id"))
-    candidate_links = stars.join(firsts, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("a"), F.col("hub").alias("b")
-    )
-    clusters = connected(candidate_links)
-    members = materialize(
-        clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(
-            known.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"
-        ),
-        "cluster-members",
+    firsts = _unpacked(members, "firsts", "doc_id")
+    hubs = firsts.groupBy("token").agg(
+        F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("docs")
     )
-    blocks = _blocks(members, rule, block_shingles)
-    sets = materialize(_sets_of(rows, blocks, rule), "member-sets")
+    hubs = materialize(hubs.where("hub < last").drop("last"), "hubs")
+    facts = hubs.agg(F.count(F.lit(1)), F.sum("docs")).first()
+    hot = hot_rows(hubs, "docs", facts[1] or 0)
+    stars = lookup(firsts, hubs, ["token"], 16 * facts[0], "inner", SHINGLE_BYTES, hot).where("doc_id <> hub")
+    clusters = connected(stars.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    clusters = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    sets = _blocks(members.drop("firsts").join(clusters, "doc_id"), rule, block_shingles)
     links = _first_round(sets, rule, block_shingles)
     components = connected(links)
     crossing = _second_round(sets, components, rule)
     if crossing is not None:
         components = connected(links.unionByName(crossing))
     size = bytes_of(components)[1]
-    labelled = classes.withColumnRenamed("class_id", "node")
-    classed = lookup(labelled, components, ["node"], size).select(
+    labelled = classes.drop("copies").withColumnRenamed("class_id", "node")
+    # every class has one node
+    classed = join_rows(labelled, components, ["node"], size, "left", CANDIDATE_BYTES).select(
         "n", "d1", "d2", F.coalesce("component", "node").alias("component_id")
     )
     # classes of a single document are their own component; only others are looked up
-    joined = lookup(base, classed, ["n", "d1", "d2"], bytes_of(classes)[1])
+    facts = classes.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    hot = hot_rows(classes, "copies", facts[1] or 0)
+    joined = lookup(base, classed, ["n", "d1", "d2"], 32 * facts[0], hot=hot)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _blocks(members: DataFrame, rule: Rule, block_shingles: int) -> DataFrame:
-    """Members with their block.
+    """Members with their block: ``doc_id, cluster, n, shingles, cut, band, part``.
 
-    A cluster that is larger than a block is cut by size of set, then by hash.
-    Returns ``doc_id, cluster, n, block, blocks`` (of the cluster).
+    A cluster that is larger than a block is cut, by size of set and then by hash.
     """
     step = F.lit(float(np.log(100 / rule.percent)))
-    band = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    banded = members.withColumn("band", band)
-    bands = banded.groupBy("cluster", "band").agg(F.sum("n").alias("shingles"))
-    whole = bands.groupBy("cluster").agg(F.sum("shingles").alias("of_cluster"))
-    cut = bands.join(whole, "cluster").select(
-        "cluster",
-        "band",
-        F.ceil(F.col("shingles") / block_shingles).cast("int").alias("parts"),
-        (F.col("of_cluster") > block_shingles).alias("cut"),
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    bands = banded.groupBy("cluster", "band").agg(F.sum(F.octet_length("shingles") / 8).alias("held"))
+    whole = bands.groupBy("cluster").agg(F.sum("held").alias("of_cluster"))
+    cut = bands.join(whole, "cluster").where(F.col("of_cluster") > block_shingles)
+    cut = materialize(cut.select("cluster", "band", F.ceil(F.col("held") / block_shingles).alias("parts")), "cluster-bands")
+    placed = lookup(banded, cut, ["cluster", "band"], 20 * cut.count())
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0))
+    return materialize(
+        placed.select(
+            "doc_id", "cluster", "n", "shingles", F.col("parts").isNotNull().alias("cut"), "band", part.cast("int").alias("part")
+        ),
+        "member-sets",
     )
-    cut = materialize(cut, "cluster-bands")
-    placed = lookup(banded, cut, ["cluster", "band"], bytes_of(cut)[1])
-    part = F.when(F.col("cut"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
-    block = F.when(F.col("cut"), F.col("band")).otherwise(F.lit(0))
-    return placed.select("doc_id", "cluster", "n", "cut", block.alias("band"), part.alias("part"))
-
-
-def _sets_of(rows: DataFrame, blocks: DataFrame, rule: Rule) -> DataFrame:
-    """The shingle sets of the members: a second look at their texts."""
-    size = bytes_of(blocks)[1] * 4
-    texts = lookup(rows, materialize(blocks, "blocks"), ["doc_id"], size, "inner")
-    names = ["doc_id", "cluster", "cut", "band", "part", "n"]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = []
-        for _, part in _parts(batch):
-            packed += [s.astype("<u8").tobytes() for s in shingle_sets(part, rule.n)]
-        columns = [batch.column(c) for c in names] + [pa.array(packed, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=[*names, "shingles"])
-
-    schema = "doc_id long, cluster long, cut boolean, band int, part int, n long, shingles binary"
-    return map_batches(texts.select(*names, "text"), run, schema).where("octet_length(shingles) > 0")
 
 
 def _first_round(sets: DataFrame, rule: Rule, block_shingles: int) -> DataFrame:
     """Links within blocks; each block of a cut cluster also holds the cluster's pivots."""
-    total = sets.where("NOT cut").agg(F.sum("n")).first()[0] or 0
-    groups = max(total // block_shingles, 1)
+    total = sets.where("NOT cut").agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    groups = max(total // 8 // block_shingles, 1)
     whole = sets.where("NOT cut").withColumn("grp", F.concat_ws(":", F.lit("w"), F.pmod(F.xxhash64("cluster"), F.lit(groups))))
     of_block = F.concat_ws(":", "cluster", "band", "part")
     cut = sets.where("cut").withColumn("grp", of_block)
@@ -442,7 +472,7 @@ def _first_round(sets: DataFrame, rule: Rule, block_shingles: int) -> DataFrame:
     places = sets.where("cut").select("cluster", "band", "part").distinct()
     pivot_sets = materialize(sets.join(pivots, ["cluster", "doc_id"], "left_semi").drop("band", "part"), "pivots")
     at_pivots = pivot_sets.join(places, "cluster").withColumn("grp", of_block)
-    columns = ["grp", "cluster", "doc_id", F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"), "shingles"]
+    columns = ["grp", "cluster", "doc_id", F.lit(0).alias("side"), F.lit(0).cast("long").alias("component"), "n", "shingles"]
     every = whole.select(*columns).unionByName(cut.select(*columns)).unionByName(at_pivots.select(*columns))
     return materialize(every.groupBy("grp").applyInArrow(_group_links(rule, False), "a long, b long"), "links")
 
@@ -484,7 +514,7 @@ def _second_round(sets: DataFrame, components: DataFrame, rule: Rule) -> DataFra
     if pairs.isEmpty():
         return None
     every = named.join(pairs, ["cluster", "band", "part"]).select(
-        "grp", "cluster", "doc_id", "side", "component", "shingles"
+        "grp", "cluster", "doc_id", "side", "component", "n", "shingles"
     )
     return materialize(every.groupBy("grp").applyInArrow(_group_links(rule, True), "a long, b long"), "links")
 
@@ -506,7 +536,7 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # the row in one column, as its own names may be any
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
-    kept = lookup(rows, later, ["doc_id"], 8 * later.count(), "left_anti")
+    kept = join_rows(rows, later, ["doc_id"], 8 * later.count(), "left_anti", CANDIDATE_BYTES)
     several = found.where("n > 1").select("doc_id")
     size = 8 * several.count()
     if not size:

@@ -1,0 +1,501 @@
+"""The operators' methods against plain restatements on small inputs."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import jaccard, licenses, packing, secrets, substrings
+from corpusloom.llm.components import connected
+from corpusloom.llm.decontamination import decontaminate
+from corpusloom.llm.language_id import identify_languages
+from corpusloom.llm.quality import Chains, Field, document_scores, fit_quality, lines_of, score_quality
+from corpusloom.llm.queries import QUERIES
+from corpusloom.llm.topk import top_k
+
+SMALL = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+
+
+def table(spark, rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+# -- packing
+
+
+def test_ids_equal_the_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    ids_of = packing.TextIds(VOCABULARY)
+    odd = [" a", "a ", "a  b", "a \n b", "\n", "x\ta b", "a\xa0b c", "<|endoftext|> it's", "½ ² 日本 語", "᠎ a b", "a​ b", ""]
+    for text in [*texts.values(), *odd]:
+        assert np.frombuffer(ids_of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark, texts):
+    ids_of = packing.TextIds(VOCABULARY)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = packing.pack(docs, VOCABULARY, with_ids=True).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == texts.keys()
+    for doc, parts in pieces.items():
+        parts.sort()
+        assert b"".join(p[1] for p in parts) == ids_of(texts[doc]) + b"\x01\0\0\0"
+        assert [p[0] for p in parts] == list(itertools.accumulate([0] + [len(p[1]) // 4 for p in parts[:-1]]))
+        assert {p[2] for p in parts} == {sum(len(p[1]) // 4 for p in parts)}
+    for parts in sequences.values():
+        parts.sort()
+        total = sum(p[1] for p in parts)
+        assert [p[0] for p in parts] == list(itertools.accumulate([0] + [p[1] for p in parts[:-1]]))
+        assert total == 2048 or total & (total - 1) == 0
+
+
+def test_three_limits_hold(spark):
+    rng = random.Random(3)
+    rows = [(i, "p " * rng.randint(0, 60), "t " * rng.randint(0, 60)) for i in range(300)]
+    examples = spark.createDataFrame(rows, "doc_id long, prompt string, text string").coalesce(2)
+    limits = packing.Limits(tokens=64, segments=3, loss=40)
+    got = packing.pack(examples, VOCABULARY, limits).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append(r)
+    for parts in by.values():
+        total = sum(r["length"] for r in parts)
+        assert total <= 64 and len(parts) <= 3 and sum(r["loss_tokens"] for r in parts) <= 40
+    ids_of = packing.TextIds(VOCABULARY)
+    loss = Counter()
+    for r in got:
+        loss[r["doc_id"]] += r["loss_tokens"]
+    assert loss == {i: len(ids_of(t)) // 4 + 1 for i, _, t in rows}
+
+
+def test_dot_product_choice():
+    """The open sequence takes the example whose vector points most along its free room."""
+    limits = packing.Limits(tokens=100, segments=10, loss=100)
+    bins = list(packing.vector_bins(np.array([60, 40, 40]), np.array([0, 40, 0]), limits))
+    # after 60 tokens with loss the room is (40, 9, 40): the example with loss has the larger product
+    assert [p[0] for p in bins[0][0]] == [0, 2]
+
+
+# -- licenses
+
+
+def test_base_places(spark, texts):
+    extra = ["CC by cc-by; General\nPublic. License all rights reserved all rights", "cc by" * 3, "éall rights reserved"]
+    rows = {**texts, **{10_000 + i: t for i, t in enumerate(extra)}}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    for r in licenses.scan_licenses(docs).collect():
+        lower = rows[r["doc_id"]].translate({c: c + 32 for c in range(65, 91)})
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+        expected = sorted(
+            (i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p
+        )
+        got = sorted((d["first_word"], d["label"]) for d in r["detections"] if d["base"])
+        assert (r["n_words"], got) == (len(words), expected)
+        for d in r["detections"]:
+            assert rows[r["doc_id"]][d["start"] : d["end"]] == d["text"]
+
+
+def _examples(rule):
+    """A text that the pattern may match: optional parts taken, first alternatives."""
+    text = rule.pattern.replace("{1,80}?", "").replace(".", "x")
+    while (new := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)) != text:
+        text = new
+    return text.replace("[0-9]{2}", "07").replace("[0-9]", "2").replace("[a-z]+", "it").replace("?", "").split("|")[0]
+
+
+def test_gate_loses_nothing():
+    rules = licenses.rules()
+    assert len(rules) > 300 and len({(r.label, r.pattern, r.priority) for r in rules}) == len(rules)
+    gated, words = licenses.Scanner(rules), set()
+    for rule in rules:
+        text = " ".join(["some", _examples(rule), "more"]).encode().split()
+        words.update(text)
+        plain = {i for i, f in enumerate(gated.find) if f.search(b" " + b" ".join(text) + b" ")}
+        assert {d[0] for d in gated.scan(text)} == plain, rule
+        assert plain, rule
+    rng, words = random.Random(5), sorted(words)
+    for _ in range(300):
+        text = rng.choices(words, k=30)
+        plain = {i for i, f in enumerate(gated.find) if f.search(b" " + b" ".join(text) + b" ")}
+        assert {d[0] for d in gated.scan(text)} == plain
+
+
+def test_suppression():
+    rng = random.Random(1)
+    for _ in range(300):
+        rules = tuple(licenses.Rule(str(i), "x", ("x",), rng.randint(1, 3)) for i in range(6))
+        scanner = licenses.Scanner(rules)
+        found = [(rng.randrange(6), a, a + rng.randint(1, 6)) for a in rng.choices(range(12), k=8)]
+        found = list(dict.fromkeys(found))
+        rank = lambda d: (rules[d[0]].priority, d[1] - d[2], d[0])
+        expected = [
+            not any(o[1] <= d[1] and o[2] >= d[2] and o != d and rank(o) < rank(d) for o in found)
+            for d in found
+        ]
+        assert scanner.suppress(found) == expected
+
+
+# -- quality
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(0)
+    lengths = np.array([3, 1, 4, 2])
+    emission, pairs = rng.normal(size=10), rng.normal(size=(2, 2))
+    forward, backward = Chains(lengths).ratios(emission, pairs)
+    at = 0
+    for n in lengths:
+        weights = {}
+        for labels in itertools.product((0, 1), repeat=int(n)):
+            score = sum(emission[at + i] for i in range(n) if labels[i])
+            weights[labels] = np.exp(score + sum(pairs[a, b] for a, b in zip(labels, labels[1:])))
+        for i in range(n):
+            p = sum(w for k, w in weights.items() if k[i]) / sum(weights.values())
+            assert abs(1 / (1 + np.exp(-forward[at + i] - backward[at + i])) - p) < 1e-9
+        at += n
+
+
+def test_line_features_do_not_depend_on_the_batch(texts):
+    some = [t.encode() for t in texts.values()][:40] + [b"", None, b"\n\n", b"a"]
+    together, sizes, lengths = lines_of(some)
+    assert lengths.tolist() == [(t or b"").count(b"\n") + 1 for t in some]
+    at = 0
+    for text, n in zip(some, lengths):
+        alone, size, _ = lines_of([text])
+        assert np.allclose(alone, together[at : at + n]) and (size == sizes[at : at + n]).all()
+        assert (size - 1).tolist() == [len(line) for line in (text or b"").split(b"\n")]
+        at += n
+
+
+def test_held_out_quality(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    field = fit_quality(docs, labels)
+    rows = score_quality(docs, field, with_lines=True).join(labels, "doc_id").collect()
+    out = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(out) > 50
+    assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in out) >= 0.97 * len(out)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        size = [len(line.encode()) + 1 for line in text[r["doc_id"]].split("\n")]
+        assert abs(np.average(r["lines"], weights=size) - r["score"]) < 1e-9
+
+
+def test_held_out_labels_are_not_read(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    other = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = fit_quality(docs, labels), fit_quality(docs, other)
+    assert (a.weights == b.weights).all() and (a.pairs == b.pairs).all()
+
+
+def test_empty_text_has_a_score():
+    score, lines = document_scores(Field(0.25), [b"", None, b"x\ny"])
+    assert score.tolist() == [0.25] * 3 and [len(p) for p in lines] == [1, 1, 2]
+
+
+# -- secrets
+
+
+def test_forest_on_unseen_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = secrets.findings_by_form(docs)
+    seen = found.where("abs(hash(candidate)) % 3 > 0")
+    forest = secrets.fit_forest(seen, trees=7)
+    rows = found.where("abs(hash(candidate)) % 3 = 0").distinct()
+    values = secrets.features(*[F.col(c) for c in ("candidate", "left", "right", "path")])
+    judged = rows.select("secret", (secrets.votes(forest, values) >= 0.5).cast("int").alias("p")).collect()
+    assert {r["secret"] for r in judged} == {0, 1}
+    assert sum(r["secret"] == r["p"] for r in judged) >= 0.98 * len(judged)
+
+
+def test_trees_as_expressions(spark):
+    """The expressions vote as the fitted trees predict."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(2)
+    rows = [(float(a + b * c > 1), a, b, c) for a, b, c in ([rng.random() * 2 for _ in range(3)] for _ in range(400))]
+    data = spark.createDataFrame(rows, "label double, a double, b double, c double")
+    ready = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(data)
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(ready)
+    trees = [secrets.read_tree(t.toDebugString.splitlines()[1:]) for t in model.trees]
+    mine = data.select(secrets.votes(trees, [F.col(x) for x in "abc"]).alias("v")).collect()
+    plain = [np.mean([t.predict(r["features"]) for t in model.trees]) for r in ready.collect()]
+    assert np.allclose([r["v"] for r in mine], plain)
+
+
+def test_no_python_in_the_plan(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    forest = [secrets.Split(0, 20.0, secrets.Leaf(0.0), secrets.Leaf(1.0))]
+    plans = [secrets.scan_secrets(docs, forest), secrets.mask_secrets(docs, forest), QUERIES["op2_url_filter"](spark, SMALL)]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# -- language identification
+
+
+def test_evidence_is_fused(spark):
+    rng = random.Random(4)
+    words = {"en": "the and with from this that".split(), "de": "der die und mit auf nicht".split()}
+    say = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    docs = spark.createDataFrame([(x, say(x, 60)) for x in ("en", "de") for _ in range(20)], "lang string, text string")
+    rows = [(i, "http://a.example.de/x", f"<html lang='de'><p>{say('de', 40)}") for i in range(30)]
+    rows += [(100 + i, "http://b.example.com/x", f"<html lang='en'><script>der die</script><p>{say('en', 40)}") for i in range(30)]
+    # no text: host and suffix decide; a false declaration does not outweigh the text
+    rows += [(200, "http://a.example.de/y", "<html></html>"), (201, "http://b.example.com/y", "")]
+    rows += [(202, "http://a.example.de/z", f"<html lang='en'>{say('de', 60)}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in identify_languages(pages, docs).collect()}
+    assert all(got[i]["lang"] == "de" for i in [*range(30), 200, 202])
+    assert all(got[100 + i]["lang"] == "en" for i in range(30)) and got[201]["lang"] == "en"
+    assert got[202]["declared"] == "en" and 0.5 < got[200]["probability"] <= 1
+
+
+def test_languages_of_text(spark):
+    """Pages whose markup declares a language are mostly found to be in it, from the text alone too."""
+    rows = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").where("declared IS NOT NULL").collect()
+    assert sum(r["lang"] == r["declared"] for r in rows) >= 0.97 * len(rows)
+    assert sum(r["text_lang"] == r["declared"] for r in rows) >= 0.95 * len(rows)
+
+
+# -- suffix arrays
+
+
+def test_suffix_arrays():
+    rng = random.Random(1)
+    for _ in range(200):
+        some = [bytes(rng.choices(b"ab\0", k=rng.randint(9, 50))) for _ in range(rng.randint(1, 5))]
+        some += rng.choices([[], [some[0][:9]], [b"\0" * 15]], k=1)[0]
+        length = rng.randint(2, 9)
+        counts = [len(t) - length + 1 for t in some]
+        data = b"".join(some)
+        array = np.frombuffer(data, np.uint8)
+        order = substrings.suffix_array(array)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        ends = np.cumsum([len(t) for t in some])
+        shared = substrings.common_prefixes(array, order, ends - np.array([len(t) for t in some]), ends, 8)
+        for i in range(1, len(order)):
+            a, b = data[order[i - 1] :], data[order[i] :]
+            n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[i] == min(n, 8)
+        windows = Counter(t[i : i + length] for t in some for i in range(len(t) - length + 1))
+        got = substrings.repeated_starts(some, counts, length)
+        assert [g.tolist() for g in got] == [
+            [windows[t[i : i + length]] > 1 for i in range(c)] for t, c in zip(some, counts)
+        ]
+
+
+def _without_repeats(rows, length):
+    raw = [t.encode() for t in rows]
+    windows = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    out = []
+    for t in raw:
+        covered = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if windows[t[i : i + length]] > 1:
+                covered[i : i + length] = b"\1" * length
+        runs = [m.span() for m in re.finditer(b"\1+", covered)]
+        out.append((bytes(b for b, c in zip(t, covered) if not c), runs))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [192_000, 600])
+def test_repeats_by_brute_force(spark, shard_bytes):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdéß", k=rng.randint(1, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    passage, hot = say(40), say(14)
+    rows = [say(rng.randint(0, 80)) for _ in range(30)]
+    rows += [say(9) + passage[rng.randrange(30) :] + say(9) for _ in range(12)]
+    rows += [say(5) + hot + say(5) for _ in range(60)]
+    rows += ["ab " * 90, "ab " * 31, "x" * 300, "", say(70) * 2, rows[0], rows[0], passage]
+    got = substrings.remove_repeats(table(spark, rows), 60, shard_bytes).collect()
+    assert len(got) == len(rows)
+    expected = _without_repeats(rows, 60)
+    for r in got:
+        assert (bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) == expected[r["doc_id"]]
+
+
+def test_long_texts_are_cut_alike(monkeypatch):
+    """Pieces and run lengths do not change which windows meet."""
+    rng = random.Random(3)
+    raw = [bytes(rng.choices(b"abc", k=700)) * 2, b"ab" * 500]
+    def windows():
+        out = set()
+        for least, _, row, start, count, _ in substrings._runs_of(raw, 50):
+            out |= {(r, s + i, v) for r, s, c, v in zip(row.tolist(), start.tolist(), count.tolist(), least.tolist()) for i in range(c)}
+        return out
+    whole = windows()
+    assert {(r, s) for r, s, _ in whole} == {(r, s) for r, t in enumerate(raw) for s in range(len(t) - 49)}
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    monkeypatch.setattr(substrings, "RUN", 7)
+    assert windows() == whole
+
+
+# -- Jaccard join
+
+
+def _components(sets, percent):
+    parent = list(range(len(sets)))
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b) and find(i) != find(j):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def _shingles(text, n):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text.translate({c: c + 32 for c in range(65, 91)})) if w]
+    return {tuple(words[i : i + n]) for i in range(max(len(words) - n, 0) + 1)} if words else set()
+
+
+def _near_copies(rng, vocabulary, groups, copies):
+    rows = []
+    for _ in range(groups):
+        words = rng.choices(vocabulary, k=rng.randint(2, 90))
+        for _ in range(rng.randint(1, copies)):
+            own = list(words)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append(" ".join(own))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 16_384), (4, 85, 150), (5, 80, 150)])
+def test_jaccard_by_brute_force(spark, n, percent, block):
+    rng = random.Random(n * percent + block)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    line = " ".join(rng.choices(vocabulary, k=12))
+    rows = _near_copies(rng, vocabulary, 12, 12) + [line + " " + t for t in _near_copies(rng, vocabulary, 6, 6)]
+    rows += ["", " ", "A b", "a B", "a b c", "x" * 50]
+    got = {r["doc_id"]: r for r in jaccard.jaccard_components(table(spark, rows), jaccard.Rule(n, percent), block).collect()}
+    sets = [_shingles(t, n) for t in rows]
+    assert [got[i]["n_shingles"] for i in range(len(rows))] == [len(s) for s in sets]
+    assert [got[i]["component_id"] for i in range(len(rows))] == _components(sets, percent)
+
+
+def test_dual_traversal_loses_no_link():
+    rng = random.Random(8)
+    for _ in range(40):
+        base = [rng.getrandbits(64) for _ in range(200)]
+        sets = []
+        for _ in range(rng.randint(2, 40)):
+            size = rng.randint(1, 60)
+            at = rng.choice([0, 0, 50, 100])
+            own = set(base[at : at + size]) - set(rng.choices(base, k=4)) | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))}
+            sets.append(np.array(sorted(own or {1}), dtype=np.uint64))
+        rule = jaccard.Rule(4, 85)
+        plain = _components([set(s.tolist()) for s in sets], 85)
+        joined = jaccard.Forest(len(sets))
+        for i, j in jaccard.dual_links(sets, [len(s) for s in sets], None, rule):
+            assert joined.join(i, j)
+        assert joined.labels().tolist() == plain
+        split = rng.randint(1, len(sets) - 1)
+        across = jaccard.Forest(len(sets))
+        for part in (range(split), range(split, len(sets))):
+            for i, j in jaccard.dual_links([sets[k] for k in part], [len(sets[k]) for k in part], None, rule) if len(part) > 1 else ():
+                across.join(part[i], part[j])
+        for i, j in jaccard.dual_links(sets, [len(s) for s in sets], split, rule, across.labels().tolist()):
+            across.join(i, j)
+        assert across.labels().tolist() == plain
+
+
+def test_connected(spark):
+    rng = random.Random(6)
+    for n, m in ((30, 20), (60, 80), (40, 39)):
+        pairs = [(i, i + 1) for i in range(39)] if m == 39 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        forest = jaccard.Forest(n)
+        for i, j in pairs:
+            forest.join(i, j)
+        linked = {x for p in pairs if p[0] != p[1] for x in p}
+        assert got == {i: forest.find(i) for i in linked}
+
+
+# -- top k
+
+
+def test_top_k_by_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-0.5, 0.25, 0.3, 1.0]) for _ in range(4)]) for i in range(160)] + [(999, [0.25] * 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    whole = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in rows}
+    for blocks in (2048, 3):
+        got = {tuple(r) for r in top_k(vectors, vectors.where("vec_id % 9 = 0"), 5, block_queries=blocks).collect()}
+        expected = set()
+        for q in range(0, 999 + 1, 9):
+            if q in whole:
+                scores = [(-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+                expected |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])}
+        assert got == expected
+
+
+def test_large_scores_are_exact(spark):
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**12, 3.0]), (2, [2.0**12, 1.0]), (3, [-(2.0**60), 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()]
+    # beyond 64 bits the scores stay at the ends of the range
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, -(2**63))]
+
+
+# -- decontamination
+
+
+def test_windows_by_parts(spark, texts):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 9))) for _ in range(25)]
+    rows = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) + ". " for _ in range(40)] + ["", "é"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = []
+    for text in rows:
+        words, hit, owners = text.replace(".", "").split(), set(), set()
+        for item, own in enumerate(i.split() for i in items):
+            for w in [own[k : k + 4] for k in range(max(len(own) - 4, 0) + 1)] if own else []:
+                for at in range(len(words) - len(w) + 1):
+                    if words[at : at + len(w)] == w:
+                        hit |= set(range(at, at + len(w)))
+                        owners.add(item)
+        expected.append((len(words), len(hit), sorted(owners), bool(hit) and 20 * len(hit) >= len(words)))
+    for part in (80_000, 20):
+        found = decontaminate(table(spark, rows), benchmark, n=4, automaton_windows=part).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in found}
+        assert [got[i] for i in range(len(rows))] == expected
+        for r in found:
+            for s in r["spans"]:
+                assert len(rows[r["doc_id"]][s["start"] : s["end"]].split()) == s["n_words"]
+
+
+def test_digest_of_items(spark):
+    rows = QUERIES["op10_decontamination"](spark, SMALL).collect()
+    assert {r["items_sha256"] for r in rows if not r["n_items"]} == {hashlib.sha256(b"").hexdigest()}
