@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import binary, lookup, map_batches, materialize, row_keys, words_of
+from corpusloom.llm.common import each_text, lookup, map_batches, materialize, row_keys, words_of
 
 # Windows of one automaton; 13 words each stay below the number of code points.
 AUTOMATON_WINDOWS = 80_000
@@ -46,7 +46,7 @@ def windows(benchmark: DataFrame, n: int) -> DataFrame:
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, owners = [], []
-        for item, text in zip(batch.column("item_id").to_pylist(), binary(batch.column("text"))):
+        for item, text in zip(batch.column("item_id").to_pylist(), each_text(batch.column("text"))):
             words = words_of(text)
             own = {b" ".join(words[i : i + n]) for i in range(max(len(words) - n, 0) + 1)} if words else ()
             found.extend(own)
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, rows: list[tuple[bytes, int]]) -> DataFrame:
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton = _automaton(key, shared)
         out: list[list] = [[], [], []]
-        for text in binary(batch.column("text")):
+        for text in each_text(batch.column("text")):
             words = words_of(text)
             runs, items = automaton.hits(words)
             out[0].append(len(words))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import binary, map_batches, words_of
+from corpusloom.llm.common import each_text, map_batches, words_of
 from corpusloom.llm.decontamination import _WORD
 
 # Probability that a kept detection by a rule of this priority is a true one.
@@ -281,7 +281,7 @@ def scan_licenses(docs: DataFrame, ordered: tuple[Rule, ...] | None = None) -> D
             _SCANNERS[ordered] = Scanner(ordered)
         scanner = _SCANNERS[ordered]
         counts, detections = [], []
-        for raw in binary(batch.column("text")):
+        for raw in each_text(batch.column("text")):
             words = words_of(raw)
             found = scanner.scan(words)
             rows = []

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 SEQUENCES = 1 << 33
 # Examples, and tokens, that are packed together.
 BLOCK_EXAMPLES = 4096
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
 # Chunks of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 # A space beside white space, and white space other than space and line feed.
 WIDE_GAPS = ("  ", " \n", "\n ")

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import binary, map_batches
+from corpusloom.llm.common import binary, map_batches, text_parts
 from corpusloom.llm.hashing import prefix_hash, run_hash
 
 # Labelled documents of each class, and lines of one, that the field is fitted on.
 SAMPLE = 1500
 SAMPLE_LINES = 1000
 # Bytes of text whose features are computed together; cut at line ends.
-CHUNK = 2_000_000
+CHUNK = 500_000
 STEPS = 120
 
 OWN = 13
@@ -298,18 +298,21 @@ def score_quality(docs: DataFrame, field: Field, with_lines: bool = False) -> Da
     are ignored; an empty table gives no rows.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score, lines = document_scores(field, binary(batch.column("text")))
-        columns = [batch.column("doc_id"), pa.array(score), pa.array([len(p) for p in lines], pa.int64())]
-        names = ["doc_id", "score", "n_lines"]
-        if with_lines:
-            columns.append(pa.array(lines, pa.list_(pa.float64())))
-            names.append("lines")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in text_parts(batch.column("text")):
+                score, lines = document_scores(field, part)
+                columns = [batch.column("doc_id").slice(at, len(part)), pa.array(score)]
+                columns.append(pa.array([len(p) for p in lines], pa.int64()))
+                names = ["doc_id", "score", "n_lines"]
+                if with_lines:
+                    columns.append(pa.array(lines, pa.list_(pa.float64())))
+                    names.append("lines")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, score double, n_lines long" + (", lines array<double>" if with_lines else "")
-    return map_batches(rows, run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
@@ -317,9 +320,9 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                score, _ = document_scores(field, binary(batch.column("text")))
-                yield batch.select(["row"]).filter(pa.array(score >= threshold))
+            scores = [document_scores(field, part)[0] for _, part in text_parts(batch.column("text"))]
+            if scores:
+                yield batch.select(["row"]).filter(pa.array(np.concatenate(scores) >= threshold))
 
     # the row in one column, as its own names may be any
     rows = docs.select(
