@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_of, join_rows, lookup, map_batches, materialize, text_parts
+from corpusloom.llm.common import bytes_of, join_rows, lookup, map_batches, map_stream, materialize, text_parts
 from corpusloom.llm.components import connected
 from corpusloom.llm.hashing import mix, prefix_hash, run_hash
 from corpusloom.operators.skew import hot_rows
@@ -140,7 +140,7 @@ def _measure(rows: DataFrame, rule: Rule) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, smallest binary")
+    return map_stream(rows, run, "doc_id long, n long, d1 long, d2 long, smallest binary")
 
 
 def _unpacked(rows: DataFrame, column: str, key: str) -> DataFrame:
@@ -186,7 +186,7 @@ def _members(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
                     columns = [pa.array(token), batch.column("doc_id").take(pa.array(owner))]
                     yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id"])
 
-    tokens = texts.select("doc_id", "text", "d1", "d2").mapInArrow(run, "token long, doc_id long")
+    tokens = map_stream(texts.select("doc_id", "text", "d1", "d2"), run, "token long, doc_id long")
     tokens = materialize(tokens, "shingles")
     numbers = tokens.groupBy("token").agg(
         F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")

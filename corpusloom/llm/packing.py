@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import map_stream
+
 # Sequences of a partition are numbered from partition * SEQUENCES on.
 SEQUENCES = 1 << 33
 # Examples, and tokens, that are packed together.
 BLOCK_EXAMPLES = 4096
 BLOCK_TOKENS = 4_000_000
-# Chunks of text whose ids a worker remembers.
-REMEMBERED = 150_000
+# Chunks of text whose ids a task remembers.
+REMEMBERED = 120_000
 
 # A space beside white space, and white space other than space and line feed.
 WIDE_GAPS = ("  ", " \n", "\n ")
@@ -96,16 +98,6 @@ class TextIds:
         return self.whole(first) + b"".join(parts)
 
 
-_IDS: dict[str, TextIds] = {}
-
-
-def text_ids(vocabulary: str) -> TextIds:
-    """One encoder for each worker process."""
-    if vocabulary not in _IDS:
-        _IDS[vocabulary] = TextIds(vocabulary)
-    return _IDS[vocabulary]
-
-
 def vector_bins(
     tokens: np.ndarray, free_of_loss: np.ndarray, limits: Limits
 ) -> Iterator[tuple[list[tuple[int, int, int]], bool]]:
@@ -215,7 +207,8 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of = text_ids(vocabulary)
+        # not kept beyond the task: the worker goes on to other work
+        ids_of = TextIds(vocabulary)
         number = TaskContext.get().partitionId() * SEQUENCES
         # an example: doc_id, its ids, tokens without loss, tokens of it that are packed already
         held: list[tuple[int | None, bytes, int, int]] = []
@@ -274,4 +267,4 @@ def pack(
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if prompted:
         columns.append(F.col("prompt").cast("string").alias("prompt"))
-    return examples.select(*columns).mapInArrow(run, schema)
+    return map_stream(examples.select(*columns), run, schema)

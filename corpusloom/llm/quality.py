@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import binary, map_batches, text_parts
+from corpusloom.llm.common import binary, map_batches, map_stream, text_parts
 from corpusloom.llm.hashing import prefix_hash, run_hash
 
 # Labelled documents of each class, and lines of one, that the field is fitted on.
@@ -312,7 +312,7 @@ def score_quality(docs: DataFrame, field: Field, with_lines: bool = False) -> Da
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, score double, n_lines long" + (", lines array<double>" if with_lines else "")
-    return rows.mapInArrow(run, schema)
+    return map_stream(rows, run, schema)
 
 
 def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
@@ -320,12 +320,11 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [document_scores(field, part)[0] for _, part in text_parts(batch.column("text"))]
-            if scores:
-                yield batch.select(["row"]).filter(pa.array(np.concatenate(scores) >= threshold))
+            for at, part in text_parts(batch.column("row").field(place).cast(pa.string())):
+                score, _ = document_scores(field, part)
+                yield batch.slice(at, len(part)).filter(pa.array(score >= threshold))
 
     # the row in one column, as its own names may be any
-    rows = docs.select(
-        F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    )
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema, False)])).select("row.*")
+    place = [c.lower() for c in docs.columns].index("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return map_stream(rows, run, T.StructType([T.StructField("row", docs.schema, False)])).select("row.*")
