@@ -26,8 +26,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     0.  Files are in the order of their folders, then of the numbers of their
     parts, then of their names.  The codec follows the file extension.
 
-    The files are read twice, for the number of lines of each split and for
-    the lines; the text itself is not written again.
+    The files are read once, into a written table: the splits of a later read
+    follow the cores that are alive then, so nothing is numbered by them.
     """
     scan = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("src"),
@@ -35,7 +35,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
-    return number_lines(scan)
+    return number_lines(materialize(scan, "lines"))
 
 
 def file_order() -> list[Column]:
@@ -47,8 +47,8 @@ def file_order() -> list[Column]:
 def number_lines(rows: DataFrame) -> DataFrame:
     """Dense line numbers from ``(src, block, seq, text)``.
 
-    ``seq`` rises without gaps inside a split ``(src, block)``, and is the same
-    whenever ``rows`` is read.  Only one row per split is ordered globally.
+    ``seq`` rises without gaps inside a split ``(src, block)``; ``rows`` is a
+    written table, as it is read twice.  Only one row per split is ordered globally.
     """
     splits = materialize(
         rows.groupBy("src", "block").agg(

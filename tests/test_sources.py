@@ -26,6 +26,26 @@ def test_lines_are_numbered_over_many_splits(spark, tmp_path, monkeypatch):
     assert [(r.src.rsplit("/", 1)[1], r.line_no, r.text) for r in rows] == flat
 
 
+def test_lines_do_not_depend_on_the_splits_of_a_later_read(spark, tmp_path):
+    lines = {f"part-{n}.txt": [f"{n}:{i}" for i in range(20_000)] for n in range(2)}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    # stands for the number of cores that are alive
+    cores, cost = "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+    spark.conf.set(cost, "1000")
+    try:
+        spark.conf.set(cores, "8")
+        numbered = text.read_lines(spark, str(tmp_path))
+        spark.conf.set(cores, "6")
+        rows = numbered.orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(cost)
+    flat = [(name, i, line) for name in sorted(lines) for i, line in enumerate(lines[name])]
+    assert [r.doc_id for r in rows] == list(range(len(flat)))
+    assert [(r.src.rsplit("/", 1)[1], r.line_no, r.text) for r in rows] == flat
+
+
 @pytest.mark.parametrize("suffix,opener", [(".gz", gzip.open), (".bz2", bz2.open), ("", open)])
 def test_codec_follows_the_extension(spark, tmp_path, suffix, opener):
     with opener(tmp_path / f"a.txt{suffix}", "wt") as f:
