@@ -13,6 +13,8 @@ partition.  No shuffle takes place and no task holds more than a block.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from array import array
@@ -53,16 +55,34 @@ class Limits:
     loss: int = 2048
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens that the JSON file beside the rank file ``vocabulary`` adds to it; none without such a file."""
+    beside = vocabulary.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        text = file.read()
+    # the list alone, not the vocabulary behind it
+    tokens, _ = json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"]:
+            raise ValueError(f"added token {token['content']!r} is not matched by its characters alone")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 class TextIds:
     """Byte-level BPE ids of whole texts.
 
+    A text is cut at the ``added`` tokens, which have their own ids wherever
+    their characters stand; what is between them is a text of its own.
+
     The pre-tokeniser always starts a token at a space that stands between
     two characters that are not white space.  A text whose spaces all do is cut
     there: a chunk, with its leading space, has the same ids wherever it
     stands.  Other texts are encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -73,12 +93,24 @@ class TextIds:
         )
         self.encode = encoding.encode_ordinary
         self.chunks: dict[str, bytes] = {}
+        self.added = {t: array("I", [i]).tobytes() for t, i in (added or {}).items()}
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest)})").split
 
     def whole(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of ``text`` as little-endian 32-bit bytes."""
+        if not text:
+            return b""
+        if self.added and any(map(text.__contains__, self.added)):
+            # every second part is an added token
+            return b"".join(self.added[p] if i % 2 else self.between(p) for i, p in enumerate(self.cut(text)))
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """Ids of ``text``, whose added tokens, if any, count as plain characters."""
         if not text:
             return b""
         if any(map(text.__contains__, WIDE_GAPS)) or text[0] == " " or text[-1] == " " or OTHER_GAPS(text):
@@ -208,7 +240,7 @@ def pack(
         from pyspark import TaskContext
 
         # not kept beyond the task: the worker goes on to other work
-        ids_of = TextIds(vocabulary)
+        ids_of = TextIds(vocabulary, added_tokens(vocabulary))
         number = TaskContext.get().partitionId() * SEQUENCES
         # an example: doc_id, its ids, tokens without loss, tokens of it that are packed already
         held: list[tuple[int | None, bytes, int, int]] = []

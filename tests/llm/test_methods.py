@@ -47,6 +47,23 @@ def test_ids_equal_the_tokenizer(texts):
         assert np.frombuffer(ids_of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(spark):
+    """The ids of `pack` are those of the tokenizer at its defaults."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    rows = [f"a {mark} b", mark, mark * 3, f"{mark}it's {mark[:-1]} {mark}\n\n", f"x{mark}  y z", "<|endoftext", f" {mark} ", "no mark"]
+    got = defaultdict(bytes)
+    for r in packing.pack(table(spark, rows), VOCABULARY, with_ids=True).orderBy("doc_id", "start").collect():
+        got[r["doc_id"]] += bytes(r["ids"])
+        assert r["doc_tokens"] == len(whole.encode(rows[r["doc_id"]], add_special_tokens=False).ids) + 1
+    for i, text in enumerate(rows):
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 1]
+        assert np.frombuffer(got[i], "<u4").tolist() == ids
+    assert np.frombuffer(got[0], "<u4").tolist() == [64, 220, 50256, 275, 1]
+
+
 def test_packing_round_trip(spark, texts):
     ids_of = packing.TextIds(VOCABULARY)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
