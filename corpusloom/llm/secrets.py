@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, as DataFrame operations.
 
-Candidates are long runs of token characters.  A text is taken apart into
+Candidates are the values given to a credential's name, of any characters from
+four on, and long runs of token characters.  A text is taken apart into
 candidates and the gaps between them inside its row, so neighbours and offsets
 need no join.  A random forest, fitted on labelled findings, votes on each
 candidate by its length, character transitions, dictionary coverage, path and
@@ -21,8 +22,36 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize
 from corpusloom.sources.stopwords import language_stopwords
 
-# A candidate: a run of at least 16 token characters, and padding behind it.
-CANDIDATE = "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}"
+# Names that a credential's value is given to, and what may stand between a name and its value: the rest of the
+# name, a type, closing quotes and brackets, a sign of assignment, an opening quote.
+SECRET_NAME = "pass ?word|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key"
+NAME = SECRET_NAME + "|auth|credential|client[ _-]?id|signature"
+REST = "s?(?:[_-][A-Za-z0-9]{1,12})?(?:[_-][A-Za-z0-9]{1,12})?(?:key|value|hash|string|[0-9]{1,4})?"
+OPEN = "(?:[(frbuFRBU@]{0,2}\\\\{0,2}[\"'`])?"
+SIGN = (
+    "(?:[ \\t]{0,2}:[ \\t]{0,2}[A-Za-z]{1,10}(?=[ \\t]{0,2}=))?(?:\\\\{0,2}[\"'`])?[\\])]?[ \\t]{0,12}"
+    "(?:[:=]{1,2}>?|>)[ \\t]{0,4}" + OPEN
+)
+HEADER = "(?:bearer|authorization[\"']?[ \\t]{0,2}[:=][ \\t]{0,2}[\"']?(?:basic|token|digest|apikey))[ \\t]{1,4}[\"']?"
+# Long runs of token characters are candidates wherever they stand.
+RUN = "[A-Za-z0-9_+/-]{16,}"
+# A value: between escaped quotes; between quotes, with spaces only if no run is inside, which would be a candidate
+# of its own; else up to a space, quote or angle bracket, or a comma, semicolon or ampersand before a next value.
+_QUOTED = (
+    "(?<=[^\\\\]{q})(?:(?:[^{q}\\\\\\s]|\\\\\\S){4,512}|(?![^{q}\\r\\n]{0,512}" + RUN + ")(?:[^{q}\\\\\\r\\n]|\\\\.){4,512})(?={q})"
+)
+_PLAIN = "[^\\s\"'`<>,;&]+"
+VALUE = "|".join([
+    "(?<=\\\\[\"'])[^\"'\\\\\\r\\n]{4,512}(?=\\\\[\"'])",
+    *[_QUOTED.replace("{q}", q) for q in "\"'`"],
+    "(?![=:~|])(?=[^\\s\"'`<>]{4})" + _PLAIN + "(?:[,;&]+(?![\\w.-]{1,32}=)" + _PLAIN + "){0,64}(?<![.:)\\]}\\\\])",
+])
+# A candidate: a value behind a name (the first tests are cheap and rule out most places), or a run with padding.
+CANDIDATE = (
+    "(?<=[=:>\"'`\\s])(?:(?<=[=:>][ \\t]{0,4}" + OPEN + ")(?<=(?i:" + NAME + ")" + "(?i:" + REST + ")" + SIGN + ")"
+    "|(?<=(?i:" + HEADER + ")))(?:" + VALUE + ")"
+    "|(?<![A-Za-z0-9_+/-])" + RUN + "={0,2}"
+)
 # Characters of the gaps beside a candidate that its features look at.
 BESIDE = 48
 # Labelled findings of each class that the forest is fitted on, its trees, their depth.
@@ -46,6 +75,11 @@ TEST_PATH = "(?i)(^|[/_.-])(test|tests|spec|example|examples|sample|docs?|mock|f
 # Published forms of issued credentials.
 ISSUED = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^[sr]k_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-"
 ASSIGNED = "(?i)(pass ?word|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key)\\s*[=:]\\s*[\"']?$"
+# What a name is given in code and prose in place of a secret: a word, a literal, a reference, a call, a mask.
+NO_VALUE = (
+    "^[A-Z]?[a-z]{1,15}$|(?i)^(true|false|null|none|nil|undefined|string|required|optional)$|^[$%{<]|^[*x.#-]+$"
+    "|^(self|this|os|env|process|config|settings|request|req|args|options)[.\\[]|^[A-Za-z_][\\w.]*[(\\[]"
+)
 
 FINDING = "candidate string, left string, right string, path string, secret int"
 
@@ -121,7 +155,10 @@ def _arrays(rows: DataFrame) -> DataFrame:
         "candidates",
         lambda c, i: F.struct(
             c.alias("c"),
-            F.substring(F.get("gaps", i), -BESIDE, BESIDE).alias("left"),
+            # a candidate may stand right behind another one, as a value behind a long name
+            F.substring(
+                F.concat(F.when(i > 0, F.get("candidates", i - 1)).otherwise(""), F.get("gaps", i)), -BESIDE, BESIDE
+            ).alias("left"),
             F.substring(F.get("gaps", i + 1), 1, BESIDE).alias("right"),
         ),
     )
@@ -132,14 +169,17 @@ def findings_by_form(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """Findings labelled by their form, for tables without findings that people have labelled.
 
     Issued credentials, and mixed tokens assigned to a credential's name, are
-    secrets.  Plain words, numbers, and parts of addresses are not.  What is
-    neither is not a labelled finding.
+    secrets.  Plain words, numbers, parts of addresses, and references and
+    literals assigned to a name are not.  What is neither is not a labelled finding.
     """
     each = take_apart(docs, path).select("path", F.inline("items"))
+    assigned = F.col("left").rlike(ASSIGNED)
     mixed = F.col("c").rlike("[0-9]") & F.col("c").rlike("[A-Za-z]")
-    positive = F.col("c").rlike(ISSUED) | (F.col("left").rlike(ASSIGNED) & mixed)
+    positive = F.col("c").rlike(ISSUED) | (assigned & mixed & ~F.col("c").rlike(NO_VALUE))
     negative = F.col("c").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^[A-Z]?[a-z]+([_/-][A-Za-z]?[a-z]+)+$")
-    negative = (negative | F.col("right").startswith("@")) & ~F.col("left").rlike(ASSIGNED)
+    negative = (negative | F.col("right").startswith("@")) & ~assigned
+    # a quoted word may be a password
+    negative = negative | (assigned & F.col("c").rlike(NO_VALUE) & ~F.col("left").rlike("[\"'`]$"))
     return each.select(
         F.col("c").alias("candidate"),
         "left",
