@@ -15,7 +15,7 @@ from corpusloom.llm.decontamination import keep_clean
 from corpusloom.llm.jaccard import Rule, keep_first
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, keep_good
-from corpusloom.llm.secrets import findings_by_form, fit_forest, mask_secrets
+from corpusloom.llm.secrets import forest_by_form, mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    return mask_secrets(docs, fit_forest(findings_by_form(docs)))
+    return mask_secrets(docs, forest_by_form(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from corpusloom.llm.language_id import identify_languages
 from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, held_out, score_quality
-from corpusloom.llm.secrets import findings_by_form, fit_forest, scan_secrets
+from corpusloom.llm.secrets import forest_by_form, scan_secrets
 from corpusloom.llm.substrings import remove_repeats
 from corpusloom.llm.topk import top_k
 from corpusloom.llm.url_filter import judge_urls, rule_table
@@ -113,7 +113,7 @@ def op3_quality(spark, sf_dir):
 def op1_secrets(spark, sf_dir):
     """All candidates for secrets in all documents, and the forest's verdict on each."""
     docs = table(spark, sf_dir, "documents")
-    found = scan_secrets(docs, fit_forest(findings_by_form(docs)))
+    found = scan_secrets(docs, forest_by_form(docs))
     return found.select("doc_id", F.inline("findings"))
 
 

@@ -11,6 +11,8 @@ in the row as well and no text is shuffled.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from dataclasses import dataclass
 
@@ -56,6 +58,8 @@ CANDIDATE = (
 BESIDE = 48
 # Labelled findings of each class that the forest is fitted on, its trees, their depth.
 SAMPLE = 10_000
+# A class with fewer distinct findings than this gets the fixed ones besides.
+SPARSE = 100
 TREES = 15
 DEPTH = 5
 MARK = "[SECRET]"
@@ -74,7 +78,8 @@ EXAMPLE = "(?i)(example|sample|dummy|placeholder|test|fake|xxxx|changeme|your[_-
 TEST_PATH = "(?i)(^|[/_.-])(test|tests|spec|example|examples|sample|docs?|mock|fixture|fixtures|vendor)([/_.-]|$)"
 # Published forms of issued credentials.
 ISSUED = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^[sr]k_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-"
-ASSIGNED = "(?i)(pass ?word|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key)\\s*[=:]\\s*[\"']?$"
+# A name, what may close it, and a sign, or an authorization scheme, right before a value.
+ASSIGNED = "(?i)(?:(?:" + SECRET_NAME + ")" + REST + SIGN + "|" + HEADER + ")$"
 # What a name is given in code and prose in place of a secret: a word, a literal, a reference, a call, a mask.
 NO_VALUE = (
     "^[A-Z]?[a-z]{1,15}$|(?i)^(true|false|null|none|nil|undefined|string|required|optional)$|^[$%{<]|^[*x.#-]+$"
@@ -126,6 +131,9 @@ def features(c: Column, left: Column, right: Column, path: Column) -> list[Colum
         yes(left.rlike("\\p{L}$") | right.rlike("^\\p{L}")),
         yes(right.rlike("^[.]?[a-z0-9]*@|^[.]") | left.rlike("@$|[.]$")),
         yes(F.concat_ws(" ", left, c, right).rlike(EXAMPLE)),
+        # published forms, and what stands in place of a secret
+        yes(c.rlike(ISSUED)),
+        yes(c.rlike(NO_VALUE)),
     ]
     return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in columns]
 
@@ -189,6 +197,55 @@ def findings_by_form(docs: DataFrame, path: str | None = "source") -> DataFrame:
     ).where("secret IS NOT NULL")
 
 
+def fixed_findings(secret: int) -> list[dict]:
+    """Labelled findings of one class that every table may lend: made-up values in usual places.
+
+    Secrets are digests, passwords and passphrases given to a credential's name, in code, JSON, headers and
+    settings, and issued forms in running text.  What is none are words, joined words, paths, numbers and parts of
+    addresses in running text, and words, literals, references and calls given to a name.
+    """
+    words = [w for w in dictionary() if len(w) >= 4]
+    out = []
+    for i in range(240):
+        digest = hashlib.sha256(f"{secret} {i}".encode()).hexdigest()
+        some = [words[int(digest[k : k + 4], 16) % len(words)] for k in range(0, 24, 4)]
+        mixed = "".join(chr(ord("A") + int(x, 16)) if k % 3 else x for k, x in enumerate(digest))
+        prose, after = f"{some[4]} {some[5]} ", f" {some[3]} {some[2]}"
+        places = [
+            ("password=", " "), ('token = "', '"'), ('{"token": "', '", "'), ("pwd: ", "\n"), ("api_key='", "'"),
+            ("Authorization: Bearer ", '"'), ("DB_PASSWORD=", "\n"), ('"secret" : "', '"}'),
+        ]
+        if secret:
+            issued = [f"AKIA{mixed[:16].upper()}", f"ghp_{mixed[:36]}", f"sk_live_{digest[:24]}", f"xoxb-{digest[:12]}-{mixed[:20]}"]
+            values = [
+                digest[:12], digest[:18], digest[:40], digest[:32].upper(), mixed[:24].swapcase() + "==", f"{some[0]}{i}",
+                f"{some[0].title()}{i % 90 + 10}&{digest[:3]}!", f"{some[0]}.{some[1]}.{some[2]}", f"{some[0]}-{some[1]}-{i}",
+                f"{some[0]} {some[1]} {some[2]}",
+            ]
+            left, right = places[i % len(places)]
+            if i % 6 == 5:
+                candidate, left, right = issued[i // 6 % len(issued)], prose, after
+            else:
+                candidate = values[i // 2 % len(values)]
+        else:
+            values = [
+                "".join(some[:4]), "_".join(some[:4]), "/".join(some[:4]), "-".join(some[:4]).title(), digest.translate(
+                    {ord(c): str(k) for k, c in enumerate("abcdef")})[:20], "".join(some[:4]).upper(),
+                some[0] + "".join(w.title() for w in some[1:4]), "".join(some[:2]) + digest[:12],
+            ]
+            given = [
+                some[0], "true", "None", "string", f"get{some[0].title()}(", f"${{{some[1].upper()}}}", f"os.environ[{some[2]}",
+                f"config.{some[0]}", "********", f"{some[0]}.{some[1]}(",
+            ]
+            candidate, left, right = values[i // 2 % len(values)], prose, after
+            if candidate == values[-1]:
+                right = "@example.com"
+            if i % 2:
+                candidate, left, right = given[i // 2 % len(given)], ("password: ", "token = ", "secret=", "auth: ")[i % 8 // 2], " "
+        out.append({"candidate": candidate, "left": left, "right": right, "path": None})
+    return out
+
+
 @dataclass(frozen=True)
 class Leaf:
     vote: float
@@ -214,36 +271,51 @@ def read_tree(lines: list[str]) -> Leaf | Split:
 
 
 def fit_forest(
-    findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, seed: int = 7
+    findings: DataFrame,
+    sample: int = SAMPLE,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    seed: int = 7,
+    always: bool = False,
 ) -> list[Leaf | Split]:
     """A random forest of ``findings`` (candidate, left, right, path, secret 0 or 1).
 
     It is fitted on at most ``sample`` distinct findings of each class, drawn by
-    hash.  With findings of one class only, every candidate is of that class;
-    with none, every candidate is a secret, so nothing is missed.
+    hash.  A class with fewer than `SPARSE` of them gets those of
+    `fixed_findings` besides, so that no verdict is constant.  With no findings
+    at all, every candidate is a secret, so nothing is missed; with ``always``
+    the forest is then fitted on the fixed ones alone.
     """
     plain = findings.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in FINDING.split(", ")])
     plain = materialize(plain.where("candidate IS NOT NULL AND secret IN (0, 1)"), "findings")
     text = ["candidate", "left", "right", "path"]
+    counts = {r["secret"]: r["count"] for r in plain.distinct().groupBy("secret").count().collect()}
+    if not counts and not always:
+        return [Leaf(1.0)]
     drawn = None
     for secret in (0, 1):
         # equal findings count once; contradicting ones count on both sides
         own = plain.where(F.col("secret") == secret).select(*text).distinct()
         own = own.withColumn("h", F.xxhash64(*text)).orderBy("h", *text).limit(sample).drop("h")
+        if counts.get(secret, 0) < SPARSE:
+            fixed = F.from_json(F.lit(json.dumps(fixed_findings(secret))), f"array<struct<{FINDING.rpartition(',')[0]}>>".replace(" string", ":string"))
+            own = own.unionByName(findings.sparkSession.range(1).select(F.inline(fixed)))
         own = own.withColumn("label", F.lit(float(secret)))
         drawn = own if drawn is None else drawn.unionByName(own)
     columns = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
     names = [f"f{i}" for i in range(len(columns))]
     # few rows, read many times: a few files
     rows = materialize(drawn.select("label", *[c.alias(n) for c, n in zip(columns, names)]).coalesce(4), "forest-sample")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return [Leaf(next(iter(counts), 1.0))]
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
     return [read_tree(tree.toDebugString.splitlines()[1:]) for tree in model.trees]
 
 
+def forest_by_form(docs: DataFrame, path: str | None = "source") -> list[Leaf | Split]:
+    """The forest for ``docs`` that no people have labelled findings of."""
+    return fit_forest(findings_by_form(docs, path), always=True)
+
+
 def votes(forest: list[Leaf | Split], values: list[Column]) -> Column:
     """Share of the trees that vote for a secret, as a column expression."""
 

@@ -277,6 +277,25 @@ def test_values_of_names_are_candidates(spark):
     assert found["getToken("] == found["string"] == 0
 
 
+def test_verdicts_without_findings_of_a_class(spark):
+    """A forest whose table lacks secrets, other findings, or both, still tells them apart."""
+    digest = hashlib.sha256(b"x").hexdigest()
+    words = ["internationalisation of things", "src/main/resources/words and otherwordsinarow", "CONSIDERATIONSOFMANY", "1234567890123456789"]
+    json_only = ['{"token": "' + digest[:40] + '", "id": 3}', f"Authorization: Bearer {digest[9:41]}"]
+    named = ['password = "Tr0ub4dor&3xyz"', "pwd: hunter2hunter2", 'token = "a1b2c3d4e5f6"']
+    for rows in (words, json_only, named, words + json_only, words + json_only + named, ["otherNamesInOneRow here"]):
+        docs = table(spark, rows)
+        masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs, secrets.forest_by_form(docs)).collect()}
+        for i, text in enumerate(rows):
+            assert ("[SECRET]" in masked[i]) == (text in json_only + named), (rows, masked[i])
+    found = secrets.findings_by_form(table(spark, json_only)).collect()
+    assert [r["secret"] for r in found] == [1, 1]
+    one_class = secrets.findings_by_form(table(spark, words))
+    assert {r["secret"] for r in one_class.collect()} == {0}
+    masked = secrets.mask_secrets(table(spark, named + words), secrets.fit_forest(one_class)).orderBy("doc_id").collect()
+    assert ["[SECRET]" in r["text"] for r in masked] == [True] * 3 + [False] * 4
+
+
 def test_trees_as_expressions(spark):
     """The expressions vote as the fitted trees predict."""
     from pyspark.ml.classification import RandomForestClassifier
