@@ -523,7 +523,7 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` but for documents whose component has a smaller one, with all their columns.
 
     Rows that share a doc_id are one document: of them, the one of least text
-    stays.  Rows without a doc_id all stay.
+    stays, one without text only if all are.  Rows without a doc_id all stay.
     """
     found = materialize(
         jaccard_components(docs, rule)
@@ -544,6 +544,6 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     one = (
         lookup(kept, several, ["doc_id"], size, "inner")
         .groupBy("doc_id")
-        .agg(F.min_by("row", F.struct(F.col("text").isNotNull(), F.col("text"))).alias("row"))
+        .agg(F.min_by("row", F.struct(F.col("text").isNull(), F.col("text"))).alias("row"))
     )
     return lookup(kept, several, ["doc_id"], size, "left_anti").select("row").unionByName(one.select("row")).select("row.*")

@@ -101,6 +101,14 @@ def test_filters_by_row(docs, benchmark):
     assert first == Counter(set(TEXTS)) - Counter([(4, "same id, other text")])
 
 
+def test_a_text_is_kept_before_a_null(spark):
+    rows = [(1, None), (1, "a clean text"), (2, None), (2, None), (3, ""), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(tuple(r) for r in keep_first(table).collect() if r["doc_id"] != 2)
+    assert kept == [(1, "a clean text"), (3, "")]
+    assert [r["text"] for r in keep_first(table).where("doc_id = 2").collect()] == [None]
+
+
 def test_null_and_empty_texts(docs, benchmark):
     words = decontaminate(docs, benchmark).where("doc_id IN (2, 3, 5)").collect()
     assert {(r["n_words"], r["n_hit"], r["contaminated"], len(r["items"])) for r in words} == {(0, 0, False, 0)}
