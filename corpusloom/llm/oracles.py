@@ -98,3 +98,67 @@ SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, least_id AS component_id
 FROM doc LEFT JOIN size USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+# An unsigned crc32 of a number's decimal digits, a list of codes of its characters at a time.
+CRC32 = """xor(4294967295, list_reduce(
+    list_transform(range(0, len(d) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(d[i]) END),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE named AS (
+  SELECT *, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g, CAST(doc_id AS VARCHAR) AS d FROM documents
+),
+summed AS (SELECT *, CAST({CRC32} AS BIGINT) AS crc FROM named),
+leaf AS (
+  SELECT doc_id, g, {_leaf('n_chars')} AS leaf,
+    CASE WHEN crc % 7 = 0 THEN {_leaf('(CAST(n_chars AS HUGEINT) + 1)')} ELSE {_leaf('n_chars')} END AS claimed
+  FROM summed
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+),
+low(g, l, i, node) AS (
+  SELECT g, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT g, l + 1, i // 2, sha256(string_agg(node, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM low) WHERE c > 1 GROUP BY g, l, i // 2
+),
+roots AS (
+  SELECT g, arg_max(node, l) AS subroot, max(l) AS height, row_number() OVER (ORDER BY g) - 1 AS gpos FROM low GROUP BY g
+),
+high(l, i, node) AS (
+  SELECT 0, gpos, subroot FROM roots
+  UNION ALL
+  SELECT l + 1, i // 2, sha256(string_agg(node, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS c FROM high) WHERE c > 1 GROUP BY l, i // 2
+),
+top AS (SELECT arg_max(node, l) AS root, max(l) AS height FROM high),
+nodes AS (
+  SELECT g, l, i, node FROM low JOIN roots USING (g) WHERE l < height
+  UNION ALL
+  SELECT g, roots.height + high.l, i, node FROM roots, high, top WHERE high.l < top.height
+),
+fold(g, pos, gpos, low_height, height, l, folded, proof) AS (
+  SELECT g, pos, gpos, roots.height, roots.height + top.height, 0, claimed, ''
+  FROM placed JOIN roots USING (g), top
+  UNION ALL
+  SELECT f.g, pos, gpos, low_height, f.height, f.l + 1,
+    sha256(CASE WHEN own % 2 = 1 THEN coalesce(s.node, '') || folded ELSE folded || coalesce(s.node, '') END),
+    proof || coalesce(s.node, '')
+  FROM (
+    SELECT *, CASE WHEN l < low_height THEN pos >> l ELSE gpos >> (l - low_height) END AS own FROM fold WHERE l < height
+  ) f LEFT JOIN nodes s ON s.g = f.g AND s.l = f.l AND s.i = xor(own, 1)
+)
+SELECT p.doc_id, p.leaf, roots.subroot, top.root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root,
+  f.folded = top.root AS verified
+FROM placed p JOIN roots USING (g) JOIN fold f ON f.g = p.g AND f.pos = p.pos AND f.l = f.height, top
+"""

@@ -13,12 +13,15 @@ from corpusloom.llm.decontamination import decontaminate
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.language_id import identify_languages
 from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
+from corpusloom.llm.manifest import fold, manifest
 from corpusloom.llm.packing import pack
 from corpusloom.llm.quality import fit_quality, held_out, score_quality
 from corpusloom.llm.secrets import forest_by_form, scan_secrets
 from corpusloom.llm.substrings import remove_repeats
+from corpusloom.llm.token_files import read_documents, write_token_files
 from corpusloom.llm.topk import top_k
 from corpusloom.llm.url_filter import judge_urls, rule_table
+from corpusloom.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +143,35 @@ def op7_substrings(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    """Ids of all documents, written as bit-packed files and read back."""
+    path = new_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(spark, path)
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    """All documents with their proofs; in every seventh, by checksum, one character more is claimed."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    found = manifest(
+        docs,
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        "lang",
+        changed={"n_chars": F.when(tampered, n_chars + 1).otherwise(n_chars)},
+    )
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
+    folded = found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"),
+        fold(F.col("claimed"), F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
