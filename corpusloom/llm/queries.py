@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 from corpusloom.llm.decontamination import decontaminate
+from corpusloom.llm.hard_negatives import mine_negatives
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.language_id import identify_languages
 from corpusloom.llm.licenses import CONFIDENCE, scan_licenses
@@ -153,6 +154,15 @@ def op11_token_files(spark, sf_dir):
     return read_documents(spark, path)
 
 
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every 100th embedding; every seventh label is another one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", label)
+    return mine_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query
 def op13_manifest(spark, sf_dir):
     """All documents with their proofs; in every seventh, by checksum, one character more is claimed."""
