@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,10 @@ from corpusloom.scratch import materialize
 
 # A table is broadcast only while its measured content is below this many bytes.
 BROADCAST_BYTES = 8_000_000
+# Arrow batches for tasks' Python code are of about this many bytes, unless the session asks for smaller ones: both sides
+# hold several copies of a batch outside the heap.
+ARROW_BYTES = 4_000_000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 # A-Z become a-z, every other byte outside words becomes a space; bytes from 0x80 on belong to words.
@@ -30,10 +35,21 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_TABLE).split() if text else []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to ARROW_BYTES."""
+    number, unit = re.fullmatch("([0-9]+)([a-z]*)", spark.conf.get(_ARROW_SETTING).strip().lower()).groups()
+    if int(number) * 1024 ** "bkmgtp".index((unit or "b")[0]) > ARROW_BYTES:
+        spark.conf.set(_ARROW_SETTING, f"{ARROW_BYTES}b")
+
+
 def map_stream(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
 ) -> DataFrame:
-    """`mapInArrow` by workers that give memory back after each task, as later tasks use them too."""
+    """`mapInArrow` by workers that give memory back after each task, as later tasks use them too.
+
+    Batches of the session are bounded by ARROW_BYTES from here on.
+    """
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

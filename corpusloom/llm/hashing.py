@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# Fixed odd multiplier; its powers and their inverses are kept as far as they were needed.
+# Fixed odd multiplier; its powers and their inverses are kept as far as they were needed, and up to KEPT.
+KEPT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 # Fixed random weight of each byte value, so that short runs do not collide.
@@ -13,7 +14,7 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
 
-def _grown(known: np.ndarray, base: int, size: int) -> np.ndarray:
+def _grown(base: int, size: int) -> np.ndarray:
     steps = np.full(size, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
@@ -22,8 +23,10 @@ def _grown(known: np.ndarray, base: int, size: int) -> np.ndarray:
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier below ``size`` and their inverses, modulo 2**64."""
     global _powers, _inverses
+    if size > KEPT:
+        return _grown(_BASE, size), _grown(_INVERSE, size)
     if len(_powers) < size:
-        _powers, _inverses = _grown(_powers, _BASE, size), _grown(_inverses, _INVERSE, size)
+        _powers, _inverses = _grown(_BASE, size), _grown(_INVERSE, size)
     return _powers[:size], _inverses[:size]
 
 

@@ -136,29 +136,23 @@ def _measure(rows: DataFrame, rule: Rule) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
-                    pa.array([s[: int(rule.smallest(np.int64(len(s))))].tobytes() for s in sets], pa.binary()),
+                    _lists([s[: int(rule.smallest(np.int64(len(s))))] for s in sets]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_stream(rows, run, "doc_id long, n long, d1 long, d2 long, smallest binary")
+    return map_stream(rows, run, "doc_id long, n long, d1 long, d2 long, smallest array<long>")
 
 
-def _unpacked(rows: DataFrame, column: str, key: str) -> DataFrame:
-    """``(token, key)``: a row for each hash in a packed column."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = batch.column(column).to_pylist()
-        counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
-        owner = batch.column(key).take(pa.array(np.repeat(np.arange(len(packed)), counts)))
-        tokens = np.frombuffer(b"".join(packed), "<i8")
-        return pa.RecordBatch.from_arrays([pa.array(tokens), owner], names=["token", key])
-
-    return map_batches(rows.select(column, key), run, f"token long, {key} long")
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    """Sets of hashes as lists of signed numbers."""
+    offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _candidates(measured: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Classes of which enough smallest hashes are those of other classes too."""
-    tokens = _unpacked(measured.where("doc_id IS NOT NULL AND n > 0"), "smallest", "d1")
+    tokens = measured.where("doc_id IS NOT NULL AND n > 0").select(F.explode("smallest").alias("token"), "d1")
     own = tokens.groupBy("token").agg(F.min("d1").alias("d1"), F.max("d1").alias("other")).where("d1 = other")
     alone = own.groupBy("d1").agg(F.count(F.lit(1)).alias("alone"))
     counted, shared = rule.shared(F.col("n"))
@@ -209,12 +203,12 @@ def _members(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
             shingles.append(np.sort(s).tobytes())
             # shingles that no other candidate has come before all of these
             rest = max(int(rule.prefix(n)) - (n - len(s)), 0)
-            firsts.append(s[np.lexsort((s, d))[:rest]].tobytes())
-        columns = [batch.column("doc_id"), batch.column("n"), pa.array(shingles, pa.binary()), pa.array(firsts, pa.binary())]
+            firsts.append(s[np.lexsort((s, d))[:rest]])
+        columns = [batch.column("doc_id"), batch.column("n"), pa.array(shingles, pa.binary()), _lists(firsts)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "shingles", "firsts"])
 
-    ordered = map_batches(own.select("doc_id", "n", "own"), order, "doc_id long, n long, shingles binary, firsts binary")
-    return materialize(ordered.where("octet_length(firsts) > 0"), "members")
+    ordered = map_batches(own.select("doc_id", "n", "own"), order, "doc_id long, n long, shingles binary, firsts array<long>")
+    return materialize(ordered.where("size(firsts) > 0"), "members")
 
 
 # -- signature trees
@@ -408,7 +402,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), block_shingles: int
     )
     members = _members(rows, _candidates(measured, classes, rule), rule)
     # the smallest document of a shared shingle is the hub of a star
-    firsts = _unpacked(members, "firsts", "doc_id")
+    firsts = members.select(F.explode("firsts").alias("token"), "doc_id")
     hubs = firsts.groupBy("token").agg(
         F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("docs")
     )

@@ -16,6 +16,7 @@ segment, a block and a bit by arithmetic, and a document is read without its nei
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -23,32 +24,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_of, lookup, map_batches, map_stream, text_parts
+from corpusloom.llm.common import bytes_of, lookup, map_batches, map_stream
 
 # Ids of a block, of which the last of a segment may have fewer.
 BLOCK_IDS = 4096
 # A segment ends with the document that brings it to this many ids.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 # Text of a shard, about.
 SHARD_BYTES = 64_000_000
 # Pieces of text whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
-# A space between two characters that are not white space.
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)").split
-# The other places, beside those spaces, where a token always starts.
+# Text that is cut and looked up at a time.
+PART_BYTES = 16_000_000
+
+# Texts whose spaces do not all stand between two characters that are not white space, or that hold other white space.
+_ODD_SPACES = "  | \n|\n |\\A | \\z|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The places beside those spaces where a token always starts.
 _INNER_CUT = re.compile(r"(?<=\S)(\n)(?=\S)|(?<=[A-Za-z])(?=[.,;:!?])").split
-# White space other than single spaces and line feeds.
-_OTHER_SPACE = re.compile(r"[^\S \n]").search
+# Letters of Latin scripts, with or without a space before them: one token of the pre-tokeniser.
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+").fullmatch
+
 
+def _byte_letters() -> dict[int, str]:
+    """Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the rest from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
-def _plain_spaces(text: str) -> bool:
-    """Whether every space of a text stands between two characters that are not white space."""
-    beside = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
-    return not beside and not _OTHER_SPACE(text)
 
 SEGMENTS = (
     "shard int, at long, n long, width int, offsets binary, data binary, doc_ids array<long>, lengths array<long>"
@@ -114,9 +121,9 @@ class TokenizerIds:
     * at, and after, a line feed between two such characters,
     * at a mark ``.,;:!?`` that follows an ASCII letter.
 
-    A text is cut there, pieces that are not known yet are encoded together,
-    and the ids of a bounded number of pieces are remembered.  Texts that hold
-    an added token are encoded whole, as are those of any other kind of tokenizer.
+    Texts are cut there, and every different piece is encoded once: words of Latin letters by the model itself, others by the
+    whole tokenizer.  The ids of a bounded number of pieces are remembered.  Texts
+    with an added token or other white space are encoded whole, as are those of any other kind of tokenizer.
     """
 
     def __init__(self, path: str):
@@ -130,60 +137,107 @@ class TokenizerIds:
         with open(path, encoding="utf-8") as file:
             text = file.read()
         self.tokenizer = Tokenizer.from_str(text)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_ODD_SPACES, *map(re.escape, added)])
         parts = json.loads(text)
         before = parts["pre_tokenizer"] or {}
         self.cuts = (
-            parts["normalizer"] is None
+            parts["model"]["type"] == "BPE"
+            and parts["normalizer"] is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space", True)
             and not parts["truncation"]
             and not parts["padding"]
         )
-        # ids by piece, of pieces without and with a space before them
-        self.bare: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        # ids of pieces and their parts; a space before them belongs to them
+        self.known: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are not cut."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, led: set[str]) -> None:
-        """Ids of pieces that a space stands before: those of their parts, one after the other."""
-        cut = {p: _INNER_CUT(p) for p in led}
-        own = {p: [x for x in parts[1:] if x] for p, parts in cut.items()}
-        heads = {parts[0] for parts in cut.values()} - self.led.keys()
-        bare = {x for parts in own.values() for x in parts} - self.bare.keys()
-        self.bare.update(zip(bare, self.encoded(list(bare))))
-        self.led.update(zip(heads, self.encoded([" " + h for h in heads])))
-        for p, parts in cut.items():
-            self.led[p] = self.led[parts[0]] + b"".join([self.bare[x] for x in own[p]])
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes; none of an empty or null one."""
-        led: set[str] = set()
-        firsts: list[str] = []
-        cut: list[list[str] | None] = []
-        for text in texts:
-            rest = None
-            if not text or not self.cuts or any(map(text.__contains__, self.added)):
-                first = text or ""
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces, added to those that are known."""
+        known, fresh, joined, hard = self.known, {}, [], []
+        for piece in itertools.filterfalse(known.__contains__, pieces):
+            if _LETTERS(piece, 1 if piece[:1] == " " else 0):
+                fresh[piece] = None
+                continue
+            parts = [x for x in _INNER_CUT(piece) if x]
+            for x in parts:
+                if x not in known:
+                    if _LETTERS(x, 1 if x[:1] == " " else 0):
+                        fresh[x] = None
+                    else:
+                        hard.append(x)
+            if len(parts) != 1:
+                joined.append((piece, parts))
+        tokens, letters = self.model.tokenize, self.letters
+        for word in fresh:
+            if word.isascii():
+                byte_word = "\u0120" + word[1:] if word[0] == " " else word
             else:
-                first, *rest = text.split(" ") if _plain_spaces(text) else _INNER_SPACE(text)
-                led.update(rest)
-            firsts.append(first)
-            cut.append(rest)
-        self._learn(led - self.led.keys())
-        get = self.led.__getitem__
-        out = [ids + b"".join(map(get, rest or ())) for ids, rest in zip(self.encoded(firsts), cut)]
-        for kept in (self.bare, self.led):
+                byte_word = word.encode().decode("latin-1").translate(letters)
+            known[word] = array("I", [t.id for t in tokens(byte_word)]).tobytes()
+        hard = list(dict.fromkeys(hard))
+        known.update(zip(hard, self.encoded(hard)))
+        for piece, parts in joined:
+            known[piece] = b"".join([known[x] for x in parts])
+
+    def _of_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose spaces are all fit to cut at, and how many each text has."""
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        number = coded.indices.to_numpy().astype(np.int64)
+        # the first piece of a text has no space before it
+        heads = coded.dictionary.take(pa.array(number[starts[:-1]])).to_pylist()
+        led = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string()))
+        pieces = led.to_pylist() + heads
+        number[starts[:-1]] = np.arange(len(heads)) + len(pieces) - len(heads)
+        self._learn(pieces)
+        ids = [self.known[p] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        counts = size[number]
+        after = np.cumsum(counts)
+        at = np.arange(after[-1] if len(after) else 0) + np.repeat(first[number] - after + counts, counts)
+        ends = np.concatenate([[0], after])[starts[1:]]
+        while len(self.known) > REMEMBERED:
             # the oldest stay, as frequent pieces are met early
-            while len(kept) > REMEMBERED:
-                kept.popitem()
-        return out
+            self.known.popitem()
+        return flat[at], np.diff(ends, prepend=0)
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit bytes; none of an empty or null one."""
+        if not pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        after = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            reach = (after[low - 1] if low else 0) + PART_BYTES
+            high = max(int(np.searchsorted(after, reach, side="right")), low + 1)
+            part = texts.slice(low, high - low)
+            whole = pc.match_substring_regex(part, self.odd) if self.cuts else pa.array([True] * len(part))
+            ids, counts = self._of_pieces(part.filter(pc.invert(whole)))
+            of_whole = iter(self.encoded(part.filter(whole).to_pylist()))
+            data, ends, at = ids.tobytes(), (4 * np.cumsum(counts)).tolist(), 0
+            cut = iter(ends)
+            for odd in whole.to_pylist():
+                if odd:
+                    yield next(of_whole)
+                else:
+                    end = next(cut)
+                    yield data[at:end]
+                    at = end
+            low = high
 
 
 def write_token_files(
@@ -229,15 +283,13 @@ def write_token_files(
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
         for batch in batches:
-            docs = iter(batch.column("doc_id").to_pylist())
-            for _, texts in text_parts(batch.column("text")):
-                for ids in ids_of([t and t.decode() for t in texts]):
-                    doc_ids.append(next(docs))
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-                        at, size, doc_ids, held = at + size, 0, [], []
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text"))):
+                doc_ids.append(doc)
+                held.append(ids + end)
+                size += len(held[-1]) // 4
+                if size >= SEGMENT_IDS:
+                    yield segment()
+                    at, size, doc_ids, held = at + size, 0, [], []
         if held:
             yield segment()
 
