@@ -18,6 +18,10 @@ WINDOW_ROWS = 1_000_000
 SLICE_ROWS = 200_000
 
 
+# One row per split is broadcast up to this many of them.
+BROADCAST_SPLITS = 1_000_000
+
+
 def slices_for(rows: int) -> int:
     """Number of slices for a table of ``rows`` rows."""
     return max(1, -(-rows // SLICE_ROWS))
@@ -103,3 +107,39 @@ def group_prefix_sum(
         Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return df.withColumn(out, F.coalesce(F.sum(weight).over(window), F.lit(0)))
+
+
+def dense_ids(df: DataFrame, order: list[str], out: str, slices: int) -> DataFrame:
+    """Rows numbered 0, 1, ... as ``out`` in the order of the columns ``order``, as a written table.
+
+    Every split is sorted where it lies and written once; an id is the number
+    of rows in the splits before, plus the place in the own one.  That holds if the
+    splits, of which there is one row each, do not overlap, as in a table that was
+    written in order.  Only where they do, the rows are dealt by ranges into
+    ``slices`` parts first.  Rows that are equal in ``order`` are numbered in any order.
+    """
+
+    def written(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sorted_rows = rows.sortWithinPartitions(*order)
+        table = materialize(
+            sorted_rows.withColumns({"split": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}),
+            "ordered-splits",
+        )
+        key = F.struct(*order)
+        splits = table.groupBy("split").agg(
+            F.min(key).alias("low"), F.max(key).alias("high"), F.min("seq").alias("first_seq"), F.count("*").alias("n")
+        )
+        return table, materialize(splits, "splits")
+
+    table, splits = written(df)
+    following = Window.orderBy("low", "high")
+    meets = splits.select((F.lag("high").over(following) > F.col("low")).alias("meets"))
+    if not meets.where("meets").isEmpty():
+        table, splits = written(table.drop("split", "seq").repartitionByRange(slices, *order))
+    before = following.rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_seq")
+    offsets = splits.select("split", offset.alias("offset"))
+    if splits.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    numbered = table.join(offsets, "split").withColumn(out, F.col("offset") + F.col("seq"))
+    return numbered.select(out, *df.columns)

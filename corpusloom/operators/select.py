@@ -120,20 +120,26 @@ def _word_scan(key: str, text: str, words: list[str]):
 def _ids_of_pairs(found: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Ids of the documents that have both words of a pair, from the wanted words found in them.
 
-    Every word found meets the lists of its partners, and the document's other
-    wanted words answer whether one of them occurs.
+    Pairs are indexed by the word that fewer documents hold.  Only where that word was found its
+    partners are asked for, and an equi-join on document and word answers.  So rows are at most the documents of the rarer
+    word of every pair, however many wanted words a document holds.
     """
     found = materialize(found, "found-words")
-    partners = pairs.groupBy("word1", _part(pairs).alias("part")).agg(
-        F.collect_set("word2").alias("partners")
-    )
-    own = found.groupBy(key).agg(F.collect_set("word").alias("own"))
-    rows = own.select(key, "own", F.explode("own").alias("word1"))
     counts = materialize(found.groupBy("word").agg(F.count("*").alias("cn")), "word-documents")
     total = counts.agg(F.sum("cn")).head()[0] or 0
-    hot = hot_rows(counts, "cn", total).withColumnRenamed("word", "word1")
-    hits = salted_join(rows, partners, ["word1"], hot).where(F.arrays_overlap("own", "partners"))
-    return hits.select(key).distinct()
+    listed = pairs.select("word1", "word2").distinct()
+    for word, cn in (("word1", "cn1"), ("word2", "cn2")):
+        # pairs of a word that was not found are left out
+        listed = listed.join(counts.withColumnsRenamed({"word": word, "cn": cn}), word)
+    first = F.col("cn1") <= F.col("cn2")
+    rarer = F.when(first, F.col("word1")).otherwise(F.col("word2"))
+    partner = F.when(first, F.col("word2")).otherwise(F.col("word1"))
+    index = listed.groupBy(rarer.alias("word"), _part(pairs).alias("part")).agg(
+        F.collect_set(partner).alias("partners")
+    )
+    hot = hot_rows(counts, "cn", total)
+    asked = salted_join(found, index, ["word"], hot).select(key, F.explode("partners").alias("word"))
+    return asked.join(found, [key, "word"], "left_semi").select(key).distinct()
 
 
 def with_pair_substrings(

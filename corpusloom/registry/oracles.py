@@ -319,6 +319,21 @@ points AS (
 SELECT r.pair_id, r.side, r.word, a.u[r.n] * a.s * s1 AS x, b.u[r.n] * b.s * s2 AS y
 FROM numbered r, main1 a, main2 b, signs)"""
 
+UNION_LINES = f"""{BODIES},
+talk AS (SELECT conv_id * 4294967296 + turn AS doc_id, text FROM conversations),
+every_line AS (
+SELECT 0 AS rank, 'documents' AS source, * FROM ({lines_of("documents")})
+UNION ALL SELECT 1, 'benchmark', * FROM ({lines_of("benchmark", "item_id")})
+UNION ALL SELECT 2, 'conversations', * FROM ({lines_of("talk")})
+UNION ALL SELECT 3, 'pages', * FROM ({lines_of("bodies")})),
+normal AS (
+SELECT rank, source, doc_id, line_no, {normalized("text")} AS text FROM every_line),
+union_lines AS (SELECT * FROM normal WHERE source <> 'pages' OR {SEVERAL_FIELDS})"""
+
+UNION_IDS = """ids AS (
+SELECT rank, doc_id, row_number() OVER (ORDER BY rank, doc_id) - 1 AS id
+FROM (SELECT DISTINCT rank, doc_id FROM union_lines))"""
+
 ORACLES = {
     "text_lines": lines_of("documents"),
     "text_file_lines": f"""WITH {LINES}
@@ -383,16 +398,17 @@ SELECT doc_id, line_no, {normalized("text")} AS text FROM lines""",
 SELECT doc_id, line_no, text FROM lines WHERE {SEVERAL_FIELDS}""",
     "wiki_tokens_filtered": f"WITH {PAGES} {ARTICLE_TOKENS}",
     "wiki_xml_dump": f"WITH {PAGES} {ARTICLE_TOKENS}",
-    "corpus_union": f"""WITH {BODIES},
-talk AS (SELECT conv_id * 4294967296 + turn AS doc_id, text FROM conversations),
-every_line AS (
-SELECT 'documents' AS source, * FROM ({lines_of("documents")})
-UNION ALL SELECT 'benchmark', * FROM ({lines_of("benchmark", "item_id")})
-UNION ALL SELECT 'conversations', * FROM ({lines_of("talk")})
-UNION ALL SELECT 'pages', * FROM ({lines_of("bodies")})),
-normal AS (
-SELECT source, doc_id, line_no, {normalized("text")} AS text FROM every_line)
-SELECT * FROM normal WHERE source <> 'pages' OR {SEVERAL_FIELDS}""",
+    "corpus_union": f"""WITH {UNION_LINES}
+SELECT source, doc_id, line_no, text FROM union_lines""",
+    "corpus_numbered": f"""WITH {UNION_LINES}, {UNION_IDS}
+SELECT id AS doc_id, source, doc_id AS source_id, string_agg(text, chr(10) ORDER BY line_no) AS text
+FROM union_lines JOIN ids USING (rank, doc_id) GROUP BY ALL""",
+    "corpus_phrases_end_to_end": f"""WITH {UNION_LINES}, {UNION_IDS},
+all_lines AS (SELECT id AS doc_id, line_no, text FROM union_lines JOIN ids USING (rank, doc_id)),
+{phrase_ctes("one", "all_lines", 200)},
+{phrase_ctes("two", "one_lines", 100)}
+SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id,
+  CASE WHEN text = '' THEN text ELSE ' ' || text END AS text FROM two_lines""",
     "docs_with_pair_tokens": f"SELECT doc_id FROM documents WHERE {PAIR_TOKENS}",
     "docs_with_pair_substring": f"SELECT doc_id FROM documents WHERE {PAIR_SUBSTRINGS}",
     "docs_with_long_pair_list_tokens": f"""WITH {VOCAB}, {MANY_PAIRS},

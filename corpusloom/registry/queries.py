@@ -27,7 +27,14 @@ from corpusloom.operators.subsample import subsample
 from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, words
 from corpusloom.operators.rows import small_table
 from corpusloom.plans import training
-from corpusloom.plans.build_corpus import build_corpus, normalized_lines, pair_articles, pair_lines
+from corpusloom.plans.build_corpus import (
+    build_corpus,
+    normalized_lines,
+    numbered_corpus,
+    pair_articles,
+    pair_lines,
+    phrase_corpus,
+)
 from corpusloom.plans.corpus_stats import corpus_stats, kept_words
 from corpusloom.plans.evaluation import evaluate, metric_table, rounded
 from corpusloom.plans.phrases import repeat_phrases
@@ -248,15 +255,34 @@ def wiki_xml_dump(spark, sf):
     return tokens.select("doc_id", F.array_join("tokens", " ").alias("text"))
 
 
-@query
-def corpus_union(spark, sf):
-    """Lines of three plain sources and the cleaned pages, normalised, as one corpus."""
+def sources(spark, sf):
+    """Three plain sources and the pages."""
     plain = {
         "documents": I.documents(spark, sf),
         "benchmark": I.benchmark(spark, sf),
         "conversations": I.conversations(spark, sf),
     }
-    return build_corpus(plain, {"pages": I.pages(spark, sf)}, decode_entities=True)
+    return plain, {"pages": I.pages(spark, sf)}
+
+
+@query
+def corpus_union(spark, sf):
+    """Lines of three plain sources and the cleaned pages, normalised, as one corpus."""
+    return build_corpus(*sources(spark, sf), decode_entities=True)
+
+
+@query
+def corpus_numbered(spark, sf):
+    """The same lines as documents with one id through all sources."""
+    return numbered_corpus(*sources(spark, sf), decode_entities=True)
+
+
+@query
+def corpus_phrases_end_to_end(spark, sf):
+    """All sources, numbered, after two phrase passes, written as text and read back."""
+    path = new_path(spark, "phrase-corpus")
+    phrase_corpus(numbered_corpus(*sources(spark, sf), decode_entities=True), path)
+    return files.read_lines(spark, path).select("doc_id", "text")
 
 
 # -- sub-corpora

@@ -15,6 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+# Names of the bucketed tables that were written.
+_bucketed: list[str] = []
+# Text of a bucket, about, and the most buckets Spark takes.
+BUCKET_BYTES = 128_000_000
+MOST_BUCKETS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +47,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete the intermediate tables of this session, once no result needs them."""
+    while _bucketed:
+        spark.sql(f"DROP TABLE IF EXISTS {_bucketed.pop()}")
     path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -58,6 +65,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Number of buckets for ``size`` bytes of text; at least one for each core."""
+    return min(max(-(-size // BUCKET_BYTES), spark.sparkContext.defaultParallelism), MOST_BUCKETS)
+
+
+def write_buckets(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``key``, of which joins and groups by ``key`` need no shuffle.
+
+    ``df`` must be partitioned by ``key`` into as many parts, as by
+    ``repartition(buckets, key)`` or by a plan over such a table; then nothing is shuffled and every bucket is one file.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = f"corpusloom_{path.rsplit('-', 1)[-1]}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    _bucketed.append(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute a scan that has fewer splits than the cluster has cores.
 
