@@ -204,12 +204,12 @@ def similarity(a: str, b: str) -> str:
     return f"CASE WHEN {norms} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {norms} END"
 
 
-def nearest(exclude: bool, digits: int) -> str:
-    condition = "v.word <> p.word1" if exclude else "true"
+def nearest(exclude: bool, digits: int, asked: str = "word1") -> str:
+    condition = f"v.word <> p.{asked}" if exclude else "true"
     return f"""WITH {VECTORS}, {ANALOGY_PAIRS},
 ranked AS (
-SELECT p.pair_id AS query_id, p.word1 AS query, v.word, {similarity("q.vector", "v.vector")} AS sim
-FROM pairs p JOIN vectors q ON q.word = p.word1 JOIN vectors v ON {condition})
+SELECT p.pair_id AS query_id, p.{asked} AS query, v.word, {similarity("q.vector", "v.vector")} AS sim
+FROM pairs p JOIN vectors q ON q.word = p.{asked} JOIN vectors v ON {condition})
 SELECT query_id, query, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, word) AS rank,
   word, round(sim, {digits}) AS similarity
 FROM ranked QUALIFY rank <= 5"""
@@ -350,6 +350,14 @@ SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, array_to_string(list_f
 SELECT word, cn FROM vocab WHERE word NOT IN ({STOP})""",
     "tokens_space": f"WITH {TOKENS} SELECT * FROM tokens",
     "tokens_phrase": f"WITH {BLANK_TOKENS} SELECT * FROM tokens",
+    "tokens_phrase_marks": f"""WITH marked AS (
+SELECT doc_id, replace(replace(text, ' de ', chr(9) || ' de' || chr(10)), ' the ', chr(10) || 'the ') AS text FROM documents),
+lines AS ({lines_of("marked")}), tokens AS ({tokens_of("lines", blank=True)}) SELECT * FROM tokens""",
+    "truncated_tokens": f"""WITH {BLANK_TOKENS},
+cut AS (
+SELECT *, left(word, list_max(list_filter(range(0, 9), lambda n: strlen(left(word, n)) <= 8))) AS head FROM tokens)
+SELECT doc_id, line_no, pos, CASE WHEN strlen(word) <= 8 THEN word
+  WHEN strlen(head) < 8 THEN head || chr(65533) ELSE head END AS word FROM cut""",
     "alpha_tokens": f"""
 SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS word
 FROM (SELECT doc_id, {ALPHABETIC} AS parts FROM documents)""",
@@ -394,6 +402,7 @@ WHERE ('0x' || substr(md5('1:' || doc_id || ':' || line_no || ':' || pos), 1, 13
     "normalize_text": f"""WITH {LINES}
 SELECT doc_id, line_no, {normalized("text")} AS text FROM lines""",
     "clean_markup": f"WITH {BODIES} SELECT doc_id, text FROM bodies",
+    "clean_markup_redirects": f"WITH {BODIES} SELECT doc_id, text FROM bodies WHERE doc_id % 5 <> 0",
     "visible_multiword_lines": f"""WITH {BODIES}, lines AS ({lines_of("bodies")})
 SELECT doc_id, line_no, text FROM lines WHERE {SEVERAL_FIELDS}""",
     "wiki_tokens_filtered": f"WITH {PAGES} {ARTICLE_TOKENS}",
@@ -453,18 +462,27 @@ SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS doc_id,
   CASE WHEN text = '' THEN text ELSE ' ' || text END AS text FROM one_lines""",
     "rated_pairs_file": f"WITH {RATED} SELECT 'made up' AS dataset, word1, word2, score FROM rated",
     "analogy_pairs_file": f"WITH {ANALOGY_PAIRS} SELECT word1, word2 FROM pairs",
+    "rated_pairs_file_order": f"""WITH {RATED}
+SELECT 'made up' AS dataset, row_number() OVER (ORDER BY line_no) - 1 AS line_no, word1, word2, score FROM rated""",
+    "analogy_pairs_file_order": f"""WITH {ANALOGY_PAIRS}
+SELECT row_number() OVER (ORDER BY pair_id DESC) - 1 AS pair_id, word1, word2 FROM pairs""",
     "vector_lookup_zero_fill": f"""WITH {VECTORS}, {RATED}, {FILLED.format("rated")}
 SELECT dataset, line_no, word1, word2, round({NORM.format("vector1")}, 6) AS norm1,
   round({NORM.format("vector2")}, 6) AS norm2 FROM filled""",
     "nonzero_vectors": f"""WITH {VECTORS}, {RATED}
 SELECT word, round({NORM.format("vector")}, 6) AS norm FROM vectors
 WHERE word IN (SELECT word1 FROM rated UNION SELECT word2 FROM rated)
+  AND len(list_filter(vector, lambda x: x <> 0)) > 0""",
+    "nonzero_vectors_zeroed": f"""WITH {VECTORS}, {RATED}
+SELECT word, round({NORM.format("vector")}, 6) AS norm FROM vectors
+WHERE word IN (SELECT word1 FROM rated UNION SELECT word2 FROM rated) AND word::BIGINT % 3 <> 0
   AND len(list_filter(vector, lambda x: x <> 0)) > 0""",
     "cosine_pairs": f"""WITH {VECTORS}, {RATED}, {KNOWN}
 SELECT line_no, word1, word2, round({similarity("vector1", "vector2")}, 6) AS similarity,
   round(1 - {similarity("vector1", "vector2")}, 6) AS distance FROM known""",
     "nearest_k": nearest(False, 6),
     "nearest_k_exclude_self": nearest(True, 6),
+    "nearest_k_unknown": nearest(True, 6, "word2"),
     "synonym_report": nearest(True, 4),
     "analogy_offset": f"WITH {answers(False)} {REPORT}",
     "analogy_unit_mean": f"WITH {answers(True)} {REPORT}",
@@ -538,5 +556,9 @@ SELECT doc_id, bool_or(coalesce(v.cn, 0) >= 20) AS nonzero
 FROM tokens LEFT JOIN vocab v USING (word) GROUP BY doc_id""",
     "w2v_word_lookup": f"""WITH {VOCAB}
 SELECT word, cn >= 20 AND lower(word) NOT IN ({STOP}) AS nonzero FROM vocab WHERE cn >= 5""",
+    "w2v_nearest_shape": f"""WITH {KEPT},
+top AS (SELECT word, cn FROM vocab WHERE cn >= 5 ORDER BY cn DESC, word LIMIT 10)
+SELECT word AS query, unnest(range(1, 6)) AS rank, true AS known, false AS is_self, true AS falls
+FROM top WHERE cn >= 20""",
     "w2v_save_load": f"WITH {KEPT} SELECT word, 0.0::DOUBLE AS gap FROM vocab WHERE cn >= 20",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -24,7 +24,7 @@ from corpusloom.operators.lookup import (
 from corpusloom.operators.ordering import previous_value
 from corpusloom.operators.projection import pair_map
 from corpusloom.operators.subsample import subsample
-from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, words
+from corpusloom.operators.tokens import phrase_token_rows, space_token_rows, truncate_tokens, words
 from corpusloom.operators.rows import small_table
 from corpusloom.plans import training
 from corpusloom.plans.build_corpus import (
@@ -127,6 +127,20 @@ def tokens_phrase(spark, sf):
     return phrase_token_rows(I.documents(spark, sf))
 
 
+@query
+def tokens_phrase_marks(spark, sf):
+    """Phrase tokens of texts with tabs, carriage returns and line-break tokens among their words."""
+    tabs = F.replace(F.col("text"), F.lit(" de "), F.lit("\t de\r\n"))
+    marks = F.replace(tabs, F.lit(" the "), F.lit(" </s> the\r "))
+    return phrase_token_rows(I.documents(spark, sf).withColumn("text", marks))
+
+
+@query
+def truncated_tokens(spark, sf):
+    """Phrase tokens cut at eight bytes."""
+    return phrase_token_rows(truncate_tokens(I.documents(spark, sf), 8))
+
+
 @query
 def alpha_tokens(spark, sf):
     docs = I.documents(spark, sf)
@@ -225,6 +239,15 @@ def clean_markup(spark, sf):
     return wiki.visible_bodies(I.pages(spark, sf), True).select("doc_id", "text")
 
 
+@query
+def clean_markup_redirects(spark, sf):
+    """Cleaned bodies of pages of which every fifth is a redirect."""
+    redirect = F.concat(F.lit("<text>#ReDirect [["), "title", F.lit("]]"), "text")
+    text = F.when(F.col("doc_id") % 5 == 0, redirect).otherwise(F.col("text"))
+    pages = I.pages(spark, sf).withColumn("text", text)
+    return wiki.visible_bodies(pages, True).select("doc_id", "text")
+
+
 @query
 def visible_multiword_lines(spark, sf):
     bodies = wiki.visible_bodies(I.pages(spark, sf), True)
@@ -436,6 +459,24 @@ def analogy_pairs_file(spark, sf):
     return read_pairs(spark, path).drop("pair_id")
 
 
+@query
+def rated_pairs_file_order(spark, sf):
+    """Rated pairs of one file with their line numbers."""
+    path = new_path(spark, "rated")
+    rated = I.rated_pairs(spark, sf).repartition(1).sortWithinPartitions("line_no")
+    rated.select("word1", "word2", "score").write.option("sep", "\t").csv(path, header=True)
+    return read_rated_pairs(spark, path, "made up")
+
+
+@query
+def analogy_pairs_file_order(spark, sf):
+    """Analogy pairs of one file with their numbers."""
+    path = new_path(spark, "pairs")
+    pairs = I.analogy_pairs(spark, sf).repartition(1).sortWithinPartitions(F.desc("pair_id"))
+    pairs.select(F.upper("word1"), F.upper("word2")).write.csv(path)
+    return read_pairs(spark, path)
+
+
 @query
 def vector_lookup_zero_fill(spark, sf):
     vectors = I.word_vectors(spark, sf)
@@ -454,6 +495,16 @@ def nonzero_vectors(spark, sf):
     return known.select("word", F.round(V.norm(F.col("vector")), 6).alias("norm"))
 
 
+@query
+def nonzero_vectors_zeroed(spark, sf):
+    """The same where every third vector is zero."""
+    zero = F.transform("vector", lambda x: F.lit(0.0))
+    vector = F.when(F.col("word").cast("long") % 3 == 0, zero).otherwise(F.col("vector"))
+    vectors = I.word_vectors(spark, sf).withColumn("vector", vector)
+    known = known_vectors(pair_words(I.rated_pairs(spark, sf)), vectors)
+    return known.select("word", F.round(V.norm(F.col("vector")), 6).alias("norm"))
+
+
 @query
 def cosine_pairs(spark, sf):
     pairs = known_pairs(I.rated_pairs(spark, sf), I.word_vectors(spark, sf))
@@ -482,6 +533,14 @@ def nearest_k_exclude_self(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def nearest_k_unknown(spark, sf):
+    """Nearest words of second words, one of which has no vector and no answer."""
+    asked = I.analogy_pairs(spark, sf).select(F.col("pair_id").alias("query_id"), F.col("word2").alias("word"))
+    found = synonyms(asked, I.word_vectors(spark, sf))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def synonym_report(spark, sf):
     return rounded(synonyms(query_words(spark, sf), I.word_vectors(spark, sf)))
@@ -626,3 +685,18 @@ def w2v_nearest(spark, sf):
     top = counts.top_words(counts.word_counts(kept_words(docs, stop)), 10)
     asked = top.select(F.xxhash64("word").alias("query_id"), "word")
     return rounded(synonyms(asked, vectors))
+
+
+@query
+def w2v_nearest_shape(spark, sf):
+    """What holds for every fit: five ranks a query, known words other than it, similarities that do not rise."""
+    docs, stop = I.documents(spark, sf), stop_list()
+    vectors = materialize(training.word_vectors(fit_small(spark, sf)), "vectors")
+    top = counts.top_words(counts.word_counts(kept_words(docs, stop)), 10)
+    found = synonyms(top.select(F.xxhash64("word").alias("query_id"), "word"), vectors)
+    before = F.lag("similarity").over(Window.partitionBy("query_id").orderBy("rank"))
+    known = vectors.select("word", F.lit(True).alias("known"))
+    return found.withColumn("falls", before.isNull() | (F.col("similarity") <= before)).join(known, "word", "left").select(
+        "query", "rank", F.coalesce("known", F.lit(False)).alias("known"),
+        (F.col("word") == F.col("query")).alias("is_self"), "falls",
+    )
