@@ -172,8 +172,12 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = materialize(placed.withColumn("posterior", _softmax(F.col("text_score"), n)).drop("url"), "page-evidence")
     overall = rows.agg(*[F.sum(F.get("posterior", i)).alias(f"s{i}") for i in range(n)]).first()
     mass = [float(overall[i] or 0.0) for i in range(n)]
-    prior = [(m + 1) / (sum(mass) + n) for m in mass]
-    # absent values are a value of their own
+    # the overall prior, from all other pages
+    prior = [
+        (F.greatest(F.lit(m) - F.get("posterior", i), F.lit(0.0)) + 1) / (max(sum(mass) - 1, 0.0) + n)
+        for i, m in enumerate(mass)
+    ]
+    # joins need keys that are not null
     keyed = rows.withColumns(
         {"declared_key": F.coalesce("declared", F.lit("")), "suffix_key": F.coalesce("suffix", F.lit(""))}
     )
@@ -188,14 +192,20 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     def size(label: str) -> Column:
         return F.aggregate(label, F.lit(0.0), lambda a, b: a + b) - 1
 
+    def share(label: str, i: int, towards: Column) -> Column:
+        """A language's share of the other pages of a group, smoothed towards a wider group's."""
+        return (own(label, i) + STRENGTH * towards) / (F.greatest(size(label), F.lit(0.0)) + STRENGTH)
+
     evidence = []
     for i in range(n):
-        domain = (own("by_domain", i) + STRENGTH * prior[i]) / (F.greatest(size("by_domain"), F.lit(0.0)) + STRENGTH)
-        at_host = (own("by_host", i) + STRENGTH * domain) / (F.greatest(size("by_host"), F.lit(0.0)) + STRENGTH)
-        # share of a language's pages that have this declaration, or suffix
-        declared = (own("by_declared", i) + STRENGTH / (n + 1)) / (mass[i] + STRENGTH)
-        suffix = (own("by_suffix", i) + STRENGTH) / (mass[i] + STRENGTH * n)
-        evidence.append(F.get("text_score", i) + F.log(at_host) + F.log(declared) + F.log(suffix))
+        placed_prior = share("by_host", i, share("by_domain", i, prior[i]))
+        score = F.get("text_score", i) + F.log(F.when(F.col("host") == "", prior[i]).otherwise(placed_prior))
+        for column, label in (("declared", "by_declared"), ("suffix", "by_suffix")):
+            # by Bayes' rule the likelihood of a value is its languages' shares over their prior, but for a factor that all
+            # have; absent values, and such as no other page has, say nothing
+            ratio = F.log(share(label, i, prior[i]) / prior[i])
+            score += F.when(F.col(column).isNull(), F.lit(0.0)).otherwise(ratio)
+        evidence.append(score)
     fused = keyed.withColumn("fused", F.explode(F.array(_softmax(F.array(*evidence), n))))
     names = F.array(*[F.lit(x) for x in model.languages])
 

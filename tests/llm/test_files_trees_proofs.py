@@ -261,3 +261,21 @@ def test_rows_of_odd_kinds(spark):
         row = [r for r in rows if r[0] == doc]
         assert (folded == root) == (changed(row[0]) == row[0])
     assert of_manifest(spark, []) == []
+
+
+# -- languages of pages without evidence
+
+
+def test_pages_without_evidence_have_the_overall_prior(spark):
+    """90 English and 10 Spanish pages; one page has nothing, one a suffix that no other page has."""
+    from corpusloom.llm.language_id import identify_languages
+
+    texts = {"en": "the house and the street where they are living with the other people", "es": "la casa y la calle donde viven con las otras personas del barrio"}
+    docs = spark.createDataFrame(list(texts.items()) * 5, "lang string, text string")
+    rows = [(i, f"http://h{i % 7}.example.com/x", f"<p>{texts['en' if i < 90 else 'es']}</p>") for i in range(100)]
+    rows += [(100, None, None), (101, "http://a.xyz/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in identify_languages(pages, docs).collect()}
+    assert [found[i]["lang"] for i in range(100)] == ["en"] * 90 + ["es"] * 10
+    for page in (100, 101):
+        assert found[page]["lang"] == "en" and abs(found[page]["probability"] - 0.89) < 0.02
