@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_of, each_text, join_rows, lookup, map_batches, materialize, text_parts
+from corpusloom.llm.common import bytes_of, each_text, join_rows, lookup, map_batches, materialize, row_keys, text_parts
 from corpusloom.llm.hashing import mix, prefix_hash, run_hash
 from corpusloom.operators.skew import hot_rows
 
@@ -40,12 +40,17 @@ SHARD_BYTES = 192_000
 # Tables of places are broadcast up to this many bytes.
 PLACE_BYTES = 1_000_000
 
-# A place holds the row's mark, the number of window starts and the first of them.
-_MARK, _COUNT, _START = 16, 13, 34
+# Shards of a hash whose windows one slice holds, about.
+SLICE_SHARDS = 8
 
+# A place holds the number of window starts and the first of them.
+_COUNT, _START = 13, 34
+# What tells rows apart: rows of equal id and text share it.
+_KEYS = ["row_key1", "row_key2"]
 
-def _place(mark: np.ndarray, count: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return (mark << (_COUNT + _START)) | (count << _START) | start
+
+def _place(count: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (count << _START) | start
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -117,31 +122,24 @@ def _runs_of(texts: list[bytes | None], length: int) -> Iterator[tuple[np.ndarra
         yield least[first], own, owner[:, 0], first - starts[piece[first]] + owner[:, 1], count, again
 
 
-def _mark_of(text: str):
-    """16 bits of a row's text, which tell rows of one doc_id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << _MARK))
-
-
 def _measure_runs(rows: DataFrame, length: int) -> DataFrame:
-    """``least, own, doc_id, place, again`` of all runs of windows."""
+    """``least, own, row_key1, row_key2, place, again`` of all runs of windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
         for at, part in text_parts(batch.column("text")):
             for least, own, row, start, count, again in _runs_of(part, length):
-                place = _place(marks[row + at], count, start)
+                place = _place(count, start)
                 for kept, x in zip(out, (least.view(np.int64), own.view(np.int64), row + at, place, again)):
                     kept.append(x)
         none = [np.zeros(0, dtype=np.int64)]
         least, own, row, place, again = (np.concatenate(x or none) for x in out)
-        columns = [pa.array(least), pa.array(own), batch.column("doc_id").take(pa.array(row)), pa.array(place)]
-        columns.append(pa.array(again.astype(bool)))
-        return pa.RecordBatch.from_arrays(columns, names=["least", "own", "doc_id", "place", "again"])
+        keys = [batch.column(k).take(pa.array(row)) for k in _KEYS]
+        columns = [pa.array(least), pa.array(own), *keys, pa.array(place), pa.array(again.astype(bool))]
+        return pa.RecordBatch.from_arrays(columns, names=["least", "own", *_KEYS, "place", "again"])
 
-    return map_batches(
-        rows.select("doc_id", "text", "mark"), run, "least long, own long, doc_id long, place long, again boolean"
-    )
+    schema = "least long, own long, row_key1 long, row_key2 long, place long, again boolean"
+    return map_batches(rows.select("text", *_KEYS), run, schema)
 
 
 # -- suffix arrays
@@ -315,17 +313,21 @@ def _sorted_prints(packed: list[bytes]) -> np.ndarray:
 
 
 def _cut_slices(group: pa.Table) -> pa.Table:
-    """A shard's sorted windows, cut at common places into as many slices as the hash has shards."""
+    """A shard's sorted windows, cut at common places into a slice for each `SLICE_SHARDS` shards of the hash.
+
+    Empty slices are left out, so there are never more of them than windows.
+    """
     prints = _sorted_prints([p for p in group.column("prints").to_pylist()])
     shards = group.column("shards")[0].as_py()
-    at = np.zeros(shards - 1, dtype=_PRINT)
-    at["a"] = [(i << 64) // shards for i in range(1, shards)]
-    cuts = np.concatenate([[0], np.searchsorted(prints, at), [len(prints)]])
-    parts = [prints[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    slices = -(-shards // SLICE_SHARDS)
+    # the slice of a window follows from the high bits of its print, in their order
+    of = (prints["a"] >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1))) if len(of) else np.zeros(0, dtype=np.int64)
+    parts = [prints[a:b].tobytes() for a, b in zip(first, [*first[1:], len(prints)])]
     columns = [
-        pa.array([group.column("least")[0].as_py()] * shards, pa.int64()),
-        pa.array([group.column("shard")[0].as_py()] * shards, pa.int64()),
-        pa.array(range(shards), pa.int64()),
+        pa.array([group.column("least")[0].as_py()] * len(parts), pa.int64()),
+        pa.array([group.column("shard")[0].as_py()] * len(parts), pa.int64()),
+        pa.array(of[first].astype(np.int64)),
         pa.array(parts, pa.binary()),
     ]
     return pa.Table.from_arrays(columns, names=["least", "shard", "slice", "prints"])
@@ -371,14 +373,14 @@ def _mark_shared(group: pa.Table) -> pa.Table:
 def _run_texts(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """Each kind of run with its text, read from the row where it stands first."""
     wanted = materialize(
-        kinds.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")).agg(
+        kinds.groupBy(*[F.col(f"at.{k}").alias(k) for k in _KEYS]).agg(
             F.collect_list(F.struct("least", "own", "copies", "starts", "first", "shard", "shards")).alias("runs")
         ),
         "run-places",
     )
     size = bytes_of(wanted)[1] + 56 * (wanted.agg(F.sum(F.size("runs"))).first()[0] or 0)
     # a repeated row holds the same text: one of them is enough
-    texts = join_rows(rows, wanted, ["doc_id", "mark"], size, "inner", PLACE_BYTES)
+    texts = join_rows(rows, wanted, _KEYS, size, "inner", PLACE_BYTES)
     names = ["least", "own", "copies", "starts", "shard", "shards"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -397,7 +399,7 @@ def _run_texts(rows: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """``doc_id, mark, spans`` of the rows in which bytes are covered by repeated windows."""
+    """``row_key1, row_key2, spans`` of the rows in which bytes are covered by repeated windows."""
     runs = materialize(_measure_runs(rows, length), "runs")
     twice = materialize(
         runs.groupBy("least")
@@ -413,8 +415,7 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         again.select(
             "least",
             "own",
-            "doc_id",
-            F.shiftrightunsigned("place", _COUNT + _START).alias("mark"),
+            *_KEYS,
             F.shiftrightunsigned("place", _START).bitwiseAND((1 << _COUNT) - 1).alias("starts"),
             F.col("place").bitwiseAND((1 << _START) - 1).alias("first"),
         ),
@@ -423,7 +424,7 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     kinds = again.groupBy("least", "own").agg(
         F.count(F.lit(1)).alias("copies"),
         F.first("starts").alias("starts"),
-        F.min(F.struct("doc_id", "mark", "first")).alias("at"),
+        F.min(F.struct(*_KEYS, "first")).alias("at"),
     )
     kinds = materialize(kinds.withColumn("first", F.col("at.first")), "run-kinds")
     # a hash with more text than a shard holds has several shards
@@ -477,9 +478,9 @@ def repeated_spans(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             (F.col("first") + s["first"]).alias("start"), (F.col("first") + s["after"] + (length - 1)).alias("end")
         ),
     )
-    each = placed.select("doc_id", "mark", spans.alias("spans"))
+    each = placed.select(*_KEYS, spans.alias("spans"))
     return materialize(
-        each.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans"
+        each.groupBy(*_KEYS).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "spans"
     )
 
 
@@ -516,14 +517,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD_
     if length < GRAM + 1:
         raise ValueError(f"length must be more than {GRAM}")
     rows = docs.select(
-        # rows without an id are told apart by their texts alone
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.col("doc_id").isNull().alias("unnamed"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    spans = repeated_spans(rows.select("doc_id", "text", _mark_of("text").alias("mark")), length, shard_bytes)
+    rows = rows.select("doc_id", "text", *row_keys("doc_id", "text"))
+    spans = repeated_spans(rows.drop("doc_id"), length, shard_bytes)
     size = bytes_of(spans)[1] + 24 * (spans.agg(F.sum(F.size("spans"))).first()[0] or 0)
-    marked = join_rows(rows.withColumn("mark", _mark_of("text")), spans, ["doc_id", "mark"], size, "left", PLACE_BYTES)
+    marked = join_rows(rows, spans, _KEYS, size, "left", PLACE_BYTES)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, kept = [], [], []
@@ -542,5 +541,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD_
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    named = F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id")
-    return map_batches(marked.select(named, "text", "spans"), run, schema)
+    return map_batches(marked.select("doc_id", "text", "spans"), run, schema)
