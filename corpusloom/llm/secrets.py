@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -345,6 +346,47 @@ def _scored(parts: DataFrame, forest: list[Leaf | Split], threshold: float) -> C
     return F.transform(scored, lambda s: F.struct(s["candidate"], s["score"], (s["score"] >= threshold).alias("secret")))
 
 
+def _starts(scored: DataFrame) -> DataFrame:
+    """``doc_id, found, starts``: where each candidate starts, by the lengths of all before it.
+
+    A running sum copies what it has gathered, so it is taken in blocks of as
+    many candidates as the cube root of their number, and over the blocks.
+    """
+    lengths = F.zip_with(
+        F.slice("gaps", 1, F.size("candidates")),
+        "candidates",
+        lambda g, c: F.struct(F.length(g).cast("long").alias("gap"), F.length(c).cast("long").alias("own")),
+    )
+    none = F.array().cast("array<long>")
+
+    def running(items: Column, before: Callable[[Column], Column], size: Callable[[Column], Column]) -> Column:
+        """``at``, the sum of ``size`` of all items, and ``starts``, that of the items before each and its ``before``."""
+        return F.aggregate(
+            items,
+            F.struct(F.lit(0).cast("long").alias("at"), none.alias("starts")),
+            lambda s, x: F.struct(
+                (s["at"] + size(x)).alias("at"), F.concat(s["starts"], F.array(s["at"] + before(x))).alias("starts")
+            ),
+        )
+
+    each = scored.select("doc_id", "found", F.explode(F.array(lengths)).alias("lengths"))
+    block = F.greatest(F.ceil(F.cbrt(F.size("lengths"))).cast("int"), F.lit(1))
+    each = each.select("doc_id", "found", "lengths", F.explode(F.array(block)).alias("block"))
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("lengths"), F.lit(1)), F.col("block")),
+        lambda first: running(
+            F.slice("lengths", first, F.col("block")), lambda x: x["gap"], lambda x: x["gap"] + x["own"]
+        ),
+    )
+    each = each.select("doc_id", "found", F.explode(F.array(blocks)).alias("blocks"))
+    offsets = running(F.col("blocks"), lambda x: F.lit(0), lambda x: x["at"])["starts"]
+    each = each.select("doc_id", "found", "blocks", F.explode(F.array(offsets)).alias("offsets"))
+    starts = F.flatten(
+        F.transform("blocks", lambda b, i: F.transform(b["starts"], lambda x: x + F.get("offsets", i)))
+    )
+    return each.select("doc_id", "found", F.explode(F.array(starts)).alias("starts"))
+
+
 def scan_secrets(
     docs: DataFrame, forest: list[Leaf | Split], path: str | None = "source", threshold: float = 0.5
 ) -> DataFrame:
@@ -359,21 +401,11 @@ def scan_secrets(
     """
     parts = take_apart(docs, path)
     scored = parts.select("doc_id", "gaps", "candidates", F.explode(F.array(_scored(parts, forest, threshold))).alias("found"))
-    # where each candidate starts: the lengths of all before it
-    starts = F.aggregate(
-        F.zip_with(F.slice("gaps", 1, F.size("candidates")), "candidates", lambda g, c: F.struct(g.alias("g"), c.alias("c"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["c"])).alias("at"),
-            F.concat(s["starts"], F.array(s["at"] + F.length(x["g"]))).alias("starts"),
-        ),
-        lambda s: s["starts"],
-    )
-    placed = scored.select("doc_id", "found", F.explode(F.array(starts)).alias("starts"))
+    placed = _starts(scored)
     findings = F.transform(
         "found",
         lambda s, i: F.struct(
-            F.get("starts", i).cast("long").alias("start"),
+            F.get("starts", i).alias("start"),
             (F.get("starts", i) + F.length(s["candidate"])).cast("long").alias("end"),
             s["candidate"].alias("candidate"),
             s["score"].alias("score"),
