@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard, licenses, packing, secrets, substrings
+from corpusloom.llm import components, jaccard, licenses, packing, secrets, substrings
+from corpusloom.llm.common import materialize
 from corpusloom.llm.components import connected
 from corpusloom.llm.decontamination import decontaminate
 from corpusloom.llm.language_id import identify_languages
@@ -406,6 +408,39 @@ def test_repeats_by_brute_force(spark, shard_bytes):
         assert (bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) == expected[r["doc_id"]]
 
 
+@pytest.mark.parametrize("shard_bytes", [192_000, 600])
+def test_repeats_in_rows_of_one_id(spark, shard_bytes):
+    """Rows that share a doc_id are told apart by their whole text."""
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choices("abcdéß ", k=n))
+    rows = [say(150) for _ in range(300)] + [say(120) * 2, say(90), say(90)]
+    rows += [rows[0], rows[7][20:110] + say(30), ""]
+    docs = spark.createDataFrame([(1, t) for t in rows], "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(docs, 60, shard_bytes).collect()
+    expected = _without_repeats(rows, 60)
+    spans = Counter((bytes(r["kept"]), tuple((s["start"], s["end"]) for s in r["spans"])) for r in got)
+    assert spans == Counter((kept, tuple(runs)) for kept, runs in expected)
+
+
+def test_slices_of_a_hot_hash():
+    """A hash of 50 shards has few slices, the empty ones are left out, and what two shards share is found."""
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 2**64, size=(50, 40, 2), dtype=np.uint64)
+    prints[7, 3] = prints[41, 9]
+    rows = []
+    for shard in range(50):
+        group = pa.table({"least": [5], "shard": [shard], "shards": [50], "prints": [prints[shard].tobytes()]})
+        rows += substrings._cut_slices(group).to_pylist()
+    assert len(rows) <= 50 * 7 and all(r["prints"] for r in rows)
+    assert sum(len(r["prints"]) for r in rows) == prints.nbytes
+    found = Counter()
+    for nth in {r["slice"] for r in rows}:
+        own = pa.Table.from_pylist([r for r in rows if r["slice"] == nth])
+        for r in substrings._merge_slices(own).to_pylist():
+            found[r["shard"]] += len(r["shared"])
+    assert +found == {7: 16, 41: 16}
+
+
 def test_long_texts_are_cut_alike(monkeypatch):
     """Pieces and run lengths do not change which windows meet."""
     rng = random.Random(3)
@@ -507,6 +542,20 @@ def test_connected(spark):
         assert got == {i: forest.find(i) for i in linked}
 
 
+def test_rounds_of_components(spark, monkeypatch):
+    """A chain takes rounds by the logarithm of its length, in whatever order its nodes are; a star takes one or two."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    order = list(range(1000))
+    random.Random(2).shuffle(order)
+    chains = [[(i, i + 1) for i in range(999)], list(zip(order, order[1:])), [(500, i) for i in range(1000)]]
+    for pairs, most in zip(chains, (15, 15, 2)):
+        written.clear()
+        got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == dict.fromkeys(range(1000), 0)
+        assert written.count("pointers") <= most
+
+
 # -- top k
 
 

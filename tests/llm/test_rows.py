@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for all operators."""
 
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -201,3 +202,15 @@ def test_stages(spark, docs):
             assert i == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
 
 
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 4000])
+def test_places_of_many_candidates(spark, n):
+    """Starts in blocks are those of the text."""
+    rng = random.Random(n)
+    words = ["".join(rng.choices("0123456789abcdef", k=rng.randint(20, 40))) for _ in range(n)]
+    text = "é \n" + "".join(w + rng.choice([" ", ", ", "\n ü "]) for w in words)
+    table = spark.createDataFrame([(1, text), (2, "no"), (3, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["findings"] for r in scan_secrets(table, [Leaf(1.0)]).collect()}
+    assert found[2] == found[3] == []
+    assert [text[f["start"] : f["end"]] for f in found[1]] == [f["candidate"] for f in found[1]] == words
