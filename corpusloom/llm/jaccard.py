@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bytes_of, join_rows, lookup, map_batches, map_stream, materialize, text_parts
+from corpusloom.llm.common import bytes_of, join_rows, lookup, map_batches, map_stream, materialize, row_keys, text_parts
 from corpusloom.llm.components import connected
 from corpusloom.llm.hashing import mix, prefix_hash, run_hash
+from corpusloom.operators.ordering import dense_ids, slices_for
 from corpusloom.operators.skew import hot_rows
 
 # Smallest hashes that are counted beyond those that the prefix filter needs, in hundredths of a set.
@@ -513,31 +514,46 @@ def _second_round(sets: DataFrame, components: DataFrame, rule: Rule) -> DataFra
     return materialize(every.groupBy("grp").applyInArrow(_group_links(rule, True), "a long, b long"), "links")
 
 
+def _numbered(docs: DataFrame, several: DataFrame, size: int) -> DataFrame:
+    """``doc_id, text, row`` with a number for each different pair of id and text in place of the id, in its order.
+
+    A row without text goes where its id has a text: it says nothing that the other does not.
+    """
+    keyed = docs.select("*", *row_keys("doc_id", "text"))
+    order = ["doc_id", "row_key1", "row_key2"]
+    places = keyed.where("doc_id IS NOT NULL").groupBy(*order).agg(F.min(F.col("text").isNull()).alias("bare"))
+    places = materialize(places, "row-places")
+    numbers = dense_ids(places, order, "number", slices_for(places.count()))
+    numbers = lookup(numbers, several, ["doc_id"], size)
+    numbers = materialize(numbers.where("NOT (bare AND coalesce(worded, false))").drop("bare", "worded"), "row-numbers")
+    # rows without an id stay as they are
+    known = lookup(keyed.where("doc_id IS NOT NULL"), numbers, order, 32 * numbers.count(), "inner")
+    unknown = keyed.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text", "row")
+    return known.select(F.col("number").alias("doc_id"), "text", "row").unionByName(unknown)
+
+
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs`` but for documents whose component has a smaller one, with all their columns.
+    """The rows of ``docs`` but for those whose component has a smaller one, with all their columns.
 
-    Rows that share a doc_id are one document: of them, the one of least text
-    stays, one without text only if all are.  Rows without a doc_id all stay.
+    Rows are judged each by its own text: rows that share a doc_id are linked
+    only if their texts are, and equal rows, of which one stays, count as one.
+    Rows without text or words, and rows without a doc_id, all stay; but a row
+    whose id has another row with text goes if it has none.
     """
-    found = materialize(
-        jaccard_components(docs, rule)
-        .where("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")),
-        "document-components",
-    )
-    later = found.where("component_id < doc_id").select("doc_id")
     # the row in one column, as its own names may be any
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole)
+    counted = rows.where("doc_id IS NOT NULL").groupBy("doc_id")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("text").isNotNull()).alias("worded"))
+    several = materialize(counted.where("n > 1").drop("n"), "repeated-ids")
+    size = 12 * several.count()
+    if size:
+        rows = materialize(_numbered(rows, several, size), "numbered-rows")
+    found = jaccard_components(rows, rule).where("component_id < doc_id").select("doc_id").distinct()
+    later = materialize(found, "later-documents")
     kept = join_rows(rows, later, ["doc_id"], 8 * later.count(), "left_anti", CANDIDATE_BYTES)
-    several = found.where("n > 1").select("doc_id")
-    size = 8 * several.count()
     if not size:
         return kept.select("row.*")
-    one = (
-        lookup(kept, several, ["doc_id"], size, "inner")
-        .groupBy("doc_id")
-        .agg(F.min_by("row", F.struct(F.col("text").isNull(), F.col("text"))).alias("row"))
-    )
-    return lookup(kept, several, ["doc_id"], size, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
+    # of equal rows one stays
+    again = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("row").alias("row"))
+    return again.select("row").unionByName(kept.where("doc_id IS NULL").select("row")).select("row.*")
