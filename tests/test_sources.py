@@ -187,3 +187,13 @@ def test_uniform_is_in_range(spark):
             F.min("u"), F.max("u"), F.avg("u")
         ).head()
         assert 0 <= row[0] < 0.01 and 0.99 < row[1] < 1 and abs(row[2] - 0.5) < 0.02
+
+
+def test_a_given_number_of_files_grows_with_the_text(spark, tmp_path, monkeypatch):
+    """Files of a bounded size: a number that is asked for is the least one."""
+    monkeypatch.setattr(text, "FILE_BYTES", 50)
+    lines = spark.createDataFrame([(i, 0, f"line {i:03}") for i in range(60)], "doc_id long, line_no long, text string")
+    text.write_lines(lines, str(tmp_path / "out"), ["doc_id", "line_no"], 0, files=2)
+    assert len(list((tmp_path / "out").glob("*/part-*.txt"))) > 4
+    back = text.read_lines(spark, str(tmp_path / "out")).orderBy("doc_id").collect()
+    assert [r.text for r in back] == [f"line {i:03}" for i in range(60)]
