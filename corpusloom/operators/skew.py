@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A table of at most this many narrow rows is broadcast.
@@ -19,6 +19,15 @@ def hot_rows(table: DataFrame, count: str, total: int) -> DataFrame:
     return table.where(F.col(count) * HOT_SHARE > total)
 
 
+def most_frequent(table: DataFrame, count: str, rows: int) -> DataFrame:
+    """Rows of a per-key count table with the highest counts, at most ``rows`` of them; equal counts stay together."""
+    sizes = table.groupBy(count).agg(F.count("*").alias("n"))
+    # one row per different count, of which there are few
+    reached = sizes.withColumn("reached", F.sum("n").over(Window.orderBy(F.col(count).desc())))
+    least = reached.where(F.col("reached") <= rows).agg(F.min(count)).head()[0]
+    return table.where(F.lit(False) if least is None else F.col(count) >= least)
+
+
 def salted_join(
     large: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, salts: int = SALTS
 ) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import skew
 from corpusloom.operators.skew import hot_rows, lookup_join, salted_join
 
 
@@ -33,3 +34,25 @@ def test_salted_join_equals_plain_join(spark):
 def test_hot_keys_are_bounded(spark):
     counts = spark.range(5000).select("id", F.lit(1000).alias("cn"))
     assert hot_rows(counts, "cn", 5_000_000).count() == 0
+
+
+def test_most_frequent_words_are_broadcast(spark, monkeypatch):
+    """Of vectors too many to broadcast, those of as many frequent words as fit, hot or not."""
+    from corpusloom.operators import lookup
+
+    words = [(f"w{i}", 2 if i < 1200 else 1) for i in range(2200)]
+    counts = spark.createDataFrame(words, "word string, cn long")
+    assert skew.most_frequent(counts, "cn", 1199).count() == 0
+    assert skew.most_frequent(counts, "cn", 2199).count() == 1200
+    assert skew.most_frequent(counts, "cn", 2200).count() == 2200
+    assert skew.most_frequent(counts.limit(0), "cn", 5).count() == 0
+    hot = []
+    join = lookup.lookup_join
+    monkeypatch.setattr(
+        lookup, "lookup_join", lambda large, table, on, keys, *a, **k: hot.append(keys.count()) or join(large, table, on, keys, *a, **k)
+    )
+    vectors = counts.selectExpr("word", "array(double(cn), 1d) AS vector")
+    tokens = counts.selectExpr("pmod(hash(word), 7) AS doc_id", "explode(array_repeat(word, int(cn))) AS word")
+    small = lookup.mean_vectors(tokens, counts, vectors, broadcast_values=3000)
+    assert hot == [1200]
+    assert sorted(small.collect()) == sorted(lookup.mean_vectors(tokens, counts, vectors).collect())
