@@ -110,3 +110,15 @@ def test_map_keeps_repeated_and_unknown_words(spark, tmp_path):
     assert lines.count() == 3
     write_map(points, lines, str(tmp_path / "map"))
     assert spark.read.parquet(str(tmp_path / "map/segments")).count() == 3
+
+
+def test_vector_table_is_read_from_files(model, planted):
+    """No plan holds the vectors of a model, and the table outlives it."""
+    table = training.word_vectors(model)
+    assert table.inputFiles()
+    direct = {r.word: r.vector.toArray().tolist() for r in model.stages[-1].getVectors().collect()}
+    assert {r.word: r.vector for r in table.collect()} == direct
+    passing = training.fit_vectors(planted, ["the"], **PARAMS)
+    rows = training.word_vectors(passing)
+    del passing
+    assert {r.word: r.vector for r in rows.collect()} == direct
