@@ -40,7 +40,9 @@ SHARD_BYTES = 64_000_000
 REMEMBERED = 150_000
 
 # Text that is cut and looked up at a time.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
+# Pieces that are taken apart at a time.
+LEARNED = 20_000
 
 # Texts whose spaces do not all stand between two characters that are not white space, or that hold other white space.
 _ODD_SPACES = "  | \n|\n |\\A | \\z|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -198,20 +200,25 @@ class TokenizerIds:
         # the first piece of a text has no space before it
         heads = coded.dictionary.take(pa.array(number[starts[:-1]])).to_pylist()
         led = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string()))
-        pieces = led.to_pylist() + heads
+        pieces = led.to_numpy(zero_copy_only=False).tolist() + heads
         number[starts[:-1]] = np.arange(len(heads)) + len(pieces) - len(heads)
-        self._learn(pieces)
+        del cut, coded, led
+        for low in range(0, len(pieces), LEARNED):
+            self._learn(pieces[low : low + LEARNED])
         ids = [self.known[p] for p in pieces]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(ids), "<u4")
-        counts = size[number]
-        after = np.cumsum(counts)
-        at = np.arange(after[-1] if len(after) else 0) + np.repeat(first[number] - after + counts, counts)
-        ends = np.concatenate([[0], after])[starts[1:]]
+        del pieces, ids
         while len(self.known) > REMEMBERED:
             # the oldest stay, as frequent pieces are met early
             self.known.popitem()
+        counts = size[number]
+        after = np.cumsum(counts)
+        # fewer ids than bytes, of which an array of texts has less than 2**31
+        places = (first[number] - after + counts).astype(np.int32)
+        at = np.arange(after[-1] if len(after) else 0, dtype=np.int32) + np.repeat(places, counts)
+        ends = np.concatenate([[0], after])[starts[1:]]
         return flat[at], np.diff(ends, prepend=0)
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
@@ -240,6 +247,18 @@ class TokenizerIds:
             low = high
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts of documents in runs of batches of about PART_BYTES, as more of their pieces are then the same."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if held and (batch is None or sum(b.nbytes for b in held) >= PART_BYTES):
+            doc_ids, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            batch, held = None, []
+            yield doc_ids.to_pylist(), texts
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES
 ) -> None:
@@ -282,8 +301,8 @@ def write_token_files(
             ]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
-        for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text"))):
+        for docs_of_part, texts in _parts(batches):
+            for doc, ids in zip(docs_of_part, ids_of(texts)):
                 doc_ids.append(doc)
                 held.append(ids + end)
                 size += len(held[-1]) // 4

@@ -279,3 +279,23 @@ def test_pages_without_evidence_have_the_overall_prior(spark):
     assert [found[i]["lang"] for i in range(100)] == ["en"] * 90 + ["es"] * 10
     for page in (100, 101):
         assert found[page]["lang"] == "en" and abs(found[page]["probability"] - 0.89) < 0.02
+
+
+def test_batches_are_met_in_parts(monkeypatch):
+    """Small batches are cut together, up to PART_BYTES, and none of their rows is lost or moved."""
+    monkeypatch.setattr(token_files, "PART_BYTES", 200)
+    texts = [None if i % 7 == 0 else "x" * (i % 50) for i in range(60)]
+    rows = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    batches = [rows.slice(i, 4) for i in range(0, 60, 4)]
+    parts = list(token_files._parts(iter(batches)))
+    assert 1 < len(parts) < len(batches)
+    assert [d for doc_ids, _ in parts for d in doc_ids] == list(range(60))
+    assert [t for _, found in parts for t in found.to_pylist()] == texts
+    assert not list(token_files._parts(iter([])))
+
+
+def test_pieces_are_learned_some_at_a_time(plain, monkeypatch):
+    monkeypatch.setattr(token_files, "LEARNED", 3)
+    texts = ["one two, three. four\nfive", "two, six x.y 7 é ünï", "one"]
+    found = token_files.TokenizerIds(TOKENIZER)(pa.array(texts))
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
