@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from corpusloom.functions import text as T
@@ -49,6 +51,42 @@ def test_long_lists_in_several_scans(docs, pairs, monkeypatch):
     assert ids(select.with_pair_tokens(tokens, pairs)) == expected
 
 
+@pytest.mark.parametrize("settling", [200_000, 1, 0])
+def test_long_lists_on_random_strings(spark, monkeypatch, settling):
+    """Words inside tokens, across tokens and long ones, null and repeated keys, null texts, words of many partners."""
+    for name, value in (("LITERAL_PAIRS", 2), ("SETTLING_TOKENS", settling), ("WORD_LENGTH", 8), ("HEAD_LENGTH", 3), ("STRIDE", 4), ("TOGETHER", 5)):
+        monkeypatch.setattr(select, name, value)
+    rng = random.Random(3)
+
+    def string(letters, most):
+        return "".join(rng.choices(letters, k=rng.randint(0, most)))
+
+    texts = [string("aaabbbcé😀 \n", rng.choice([4, 12, 40])) for _ in range(60)]
+    rows = [(i % 50 if i % 7 else None, t if i % 11 else None) for i, t in enumerate(texts)]
+    words = [string("abcé😀", 6) for _ in range(25)] + [string("ab \n", 4) for _ in range(4)] + ["abababababab", "z", None]
+    pairs = [(rng.choice(words[:29]), rng.choice(words)) for _ in range(12)] + [("cé", w) for w in words] + [("bca", "bca"), ("z", "a")]
+    found = {
+        k for k, _ in rows if k is not None and any(
+            a is not None and b is not None and any(a in t for o, t in rows if o == k and t is not None)
+            and any(b in t for o, t in rows if o == k and t is not None) for a, b in pairs
+        )
+    }
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(pairs, "word1 string, word2 string")
+    assert 0 < len(found) < 50
+    assert ids(select.with_pair_substrings(docs, table)) == sorted(k for k, _ in rows if k in found)
+
+
+def test_scans_of_texts_do_not_grow_with_the_list(docs, pairs, monkeypatch):
+    monkeypatch.setattr(select, "LITERAL_PAIRS", 2)
+    monkeypatch.setattr(select, "SCAN_WORDS", 2)
+    scans, scan = [], select._word_scan
+    monkeypatch.setattr(select, "_word_scan", lambda *a: scans.append(a[-1]) or scan(*a))
+    expected = [i for i, t in enumerate(TEXTS) if any(a in t and b in t for a, b in PAIRS if a)]
+    assert ids(select.with_pair_substrings(docs, pairs.where("word1 <> ''"))) == expected
+    assert not scans
+
+
 def test_no_pairs(docs, spark):
     none = spark.createDataFrame([], "word1 string, word2 string")
     assert ids(select.with_pair_substrings(docs, none)) == []
